@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, simhash
 
 
 def queries() -> dict:
-    return {"op1_decontaminate": decontaminate.op1_decontaminate}
+    return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op2_simhash": simhash.op2_simhash,
+    }
 
 
 def oracle_sql() -> dict:
