@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, simhash
+from . import chat, decontaminate, packing, simhash
 
 
 def queries() -> dict:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_simhash": simhash.op2_simhash,
+        "op3_packing": packing.op3_packing,
+        "op4_chat": chat.op4_chat,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_decontaminate": decontaminate.ORACLE}
+    return {
+        "op1_decontaminate": decontaminate.ORACLE,
+        "op4_chat": chat.ORACLE,
+    }
