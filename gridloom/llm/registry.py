@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, packing, simhash
+from . import chat, decontaminate, packing, simhash, topk, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op2_simhash": simhash.op2_simhash,
         "op3_packing": packing.op3_packing,
         "op4_chat": chat.op4_chat,
+        "op7_toxicity": toxicity.op7_toxicity,
+        "op10_topk": topk.op10_topk,
     }
 
 
@@ -18,4 +20,5 @@ def oracle_sql() -> dict:
     return {
         "op1_decontaminate": decontaminate.ORACLE,
         "op4_chat": chat.ORACLE,
+        "op10_topk": topk.ORACLE,
     }
