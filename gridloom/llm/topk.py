@@ -57,7 +57,10 @@ def vectors_by_length(ids: pa.Array, vectors: pa.Array, scale: int) -> dict[int,
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
-    """One row a vector: its weighted segment means and its deviations' norms, whose inner products are the bounds."""
+    """One row a vector: its weighted segment means and its deviations' norms, whose inner products are the bounds.
+
+    The last column adds a millionth of a millionth of both norms' product, more than rounding can take away.
+    """
     n, d = x.shape
     if not d:
         return np.zeros((n, 1))
@@ -66,7 +69,7 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     x = x.astype(np.float64)
     mean = np.add.reduceat(x, edges[:-1], axis=1) / size
     apart = np.add.reduceat((x - np.repeat(mean, size.astype(int), axis=1)) ** 2, edges[:-1], axis=1)
-    return np.concatenate([mean * np.sqrt(size), np.sqrt(apart)], axis=1)
+    return np.concatenate([mean * np.sqrt(size), np.sqrt(apart), 1e-6 * np.sqrt((x**2).sum(axis=1, keepdims=True))], axis=1)
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -129,15 +132,14 @@ class Best:
                 self.merge(rows[i], names[j], products(self.vectors[rows[i]], x[j]))
                 other[i, j] = False
             bar = np.where((self.held[rows] < self.k) | (self.scores[rows, -1] == LOWEST), -np.inf, self.scores[rows, -1].astype(np.float64))
-            # Slack for rounding: bounds are sums of doubles.
-            bar = bar - np.where(np.isfinite(bar), 1e-6 * np.abs(bar) + 1, 0)
-            i, j = np.nonzero(other & (bound >= bar[:, None] - 1e-9 * np.abs(bound)))
+            bar = bar - np.where(np.isfinite(bar), 1e-12 * np.abs(bar), 0)
+            i, j = np.nonzero(other & (bound >= bar[:, None]))
             if len(i):
                 if len(i) > bound.size // 8:
                     finer = (self.levels[1][rows] @ levels[1].T)[i, j]
                 else:
                     finer = np.einsum("ij,ij->i", self.levels[1][rows[i]], levels[1][j])
-                left = finer >= bar[i] - 1e-9 * np.abs(finer)
+                left = finer >= bar[i]
                 i, j = i[left], j[left]
             if len(i):
                 if len(i) > bound.size // 8:
