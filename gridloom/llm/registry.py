@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, packing, simhash, topk, toxicity
+from . import chat, decontaminate, packing, quality, simhash, substring, topk, toxicity
 
 
 def queries() -> dict:
@@ -11,7 +11,9 @@ def queries() -> dict:
         "op2_simhash": simhash.op2_simhash,
         "op3_packing": packing.op3_packing,
         "op4_chat": chat.op4_chat,
+        "op5_quality": quality.op5_quality,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_substring": substring.op8_substring,
         "op10_topk": topk.op10_topk,
     }
 
