@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, packing, quality, simhash, substring, topk, toxicity
+from . import chat, decontaminate, packing, pii, quality, simhash, substring, topk, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_quality": quality.op5_quality,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_substring": substring.op8_substring,
+        "op9_pii": pii.op9_pii,
         "op10_topk": topk.op10_topk,
     }
 
