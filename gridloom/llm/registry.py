@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, packing, pii, quality, simhash, substring, topk, toxicity
+from . import chat, decontaminate, mixing, packing, pii, quality, simhash, substring, topk, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_packing": packing.op3_packing,
         "op4_chat": chat.op4_chat,
         "op5_quality": quality.op5_quality,
+        "op6_mixing": mixing.op6_mixing,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_substring": substring.op8_substring,
         "op9_pii": pii.op9_pii,
