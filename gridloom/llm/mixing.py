@@ -49,8 +49,12 @@ GATES = 30
 LEVELS = 32
 #: Tokens that are gathered before their pairs are scored, and pairs a step.
 TOKENS, PAIRS = 3_000_000, 40_000
+#: Pairs between two changes of the weights.
+STEP = 2500
 #: Words of the dictionary, at most.
 FREQUENT = 1 << 20
+#: Least count of a word of the dictionary; what is rarer teaches how words are spelled.
+LEAST = 8
 PRIOR = 0.15
 RATE = 0.05
 END = b"\n"
@@ -315,8 +319,8 @@ def level(x: np.ndarray) -> np.ndarray:
 
 
 def start_weights() -> np.ndarray:
-    w = np.full((GATES, 6), 0.2)
-    w[: GATES // 2, :4] = (0.1, 0.2, 0.2, 0.5)
+    w = np.full((GATES, 6), 0.25)
+    w[: GATES // 2, :4] = (0.5, 0.3, 0.35, 0.3)
     return w
 
 
@@ -328,8 +332,8 @@ def _learned(shared):
         w, speed, mass = start_weights(), np.full((GATES, 6), 1e-3), np.zeros(GATES)
         maps = np.zeros((GATES * LEVELS, 2))
         for batch in batches:
-            for at in range(0, batch.num_rows, PAIRS // 8):
-                size, data, word, cls, n, length, code = _unpacked(batch.slice(at, PAIRS // 8), dictionary)
+            for at in range(0, batch.num_rows, STEP):
+                size, data, word, cls, n, length, code = _unpacked(batch.slice(at, STEP), dictionary)
                 for pair, contexts, slots, one in steps(size, data, length, code, word, cls):
                     weight = n[pair].astype(np.float64)
                     x, seen, every = [], [], np.arange(len(one))
@@ -415,7 +419,7 @@ def train(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT) ->
 
 
 def _least(words: DataFrame, limit: int) -> int:
-    """The least power of two such that at most limit words have that count."""
+    """The least power of two, LEAST or more, such that at most limit words have that count."""
     sizes = {r.k: r["count"] for r in words.groupBy(F.floor(F.log2("n")).alias("k")).count().collect()}
     total, least = 0, 1 << (max(sizes, default=0) + 1)
     for k in sorted(sizes, reverse=True):
@@ -423,7 +427,7 @@ def _least(words: DataFrame, limit: int) -> int:
         if total > limit:
             break
         least = 1 << k
-    return max(2, least)
+    return max(LEAST, least)
 
 
 def score_texts(docs: DataFrame, model: Model, rest: DataFrame, trained: tuple[int, int], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import chat, decontaminate, mixing, packing, pii, quality, simhash, substring, topk, toxicity
 
 
@@ -17,11 +19,13 @@ def queries() -> dict:
         "op8_substring": substring.op8_substring,
         "op9_pii": pii.op9_pii,
         "op10_topk": topk.op10_topk,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
     return {
+        **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
         "op1_decontaminate": decontaminate.ORACLE,
         "op4_chat": chat.ORACLE,
         "op10_topk": topk.ORACLE,

@@ -280,7 +280,7 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "simhash", keep: list[str] | None = None, radius: int = RADIUS) -> DataFrame:
-    """Adds out_col: fingerprint (long) and component (smallest id of the texts reachable by links).
+    """Adds out_col: fingerprint and root (longs; the fingerprint that stands for the component), and component (smallest id of the texts reachable by links).
 
     Null or blank texts all have fingerprint zero and so form one component
     (with anything near zero). Repeated rows share their component. A null id
@@ -295,9 +295,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(link_fingerprints(plain.select("fp"), radius))
     named = plain.join(roots, plain.fp == roots.node, "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("component"))
-    classes = named.join(least, "root").select(F.col("fp").alias("__fp"), F.col("component").alias("__component"))
+    classes = named.join(least, "root").select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component").alias("__component"))
     joined = marked.join(classes, marked[out_col]["fingerprint"] == classes["__fp"])
-    return joined.select(*[F.col(f"`{c}`") for c in keep], F.struct(F.col("__fp").alias("fingerprint"), F.col("__component").alias("component")).alias(out_col))
+    return joined.select(*[F.col(f"`{c}`") for c in keep], F.struct(F.col("__fp").alias("fingerprint"), F.col("__root").alias("root"), F.col("__component").alias("component")).alias(out_col))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row of each component, that of its smallest id, with all columns as they are.
+
+    Of rows that repeat that id and text one stays. Rows without an id stay
+    only where no row with an id is linked to them, one for each text.
+    """
+    keys = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__t"), F.xxhash64(F.col(f"`{text_col}`")).alias("__th"))
+    marked = near_duplicates(keys, "__id", "__t", "__s", ["__id", "__th"], radius)
+    found = marked.where(F.col("__id").eqNullSafe(F.col("__s.component")))
+    # Several texts may share the smallest id; the first by its hash stays.
+    group = F.when(F.col("__id").isNull(), F.col("__th")).otherwise(F.col("__s.root"))
+    kept = found.groupBy(F.col("__id").alias("__ki"), group.alias("__g")).agg(F.min("__th").alias("__kt")).select("__ki", "__kt")
+    own = docs.withColumns({"__id": F.col(f"`{id_col}`"), "__th": F.xxhash64(F.col(f"`{text_col}`"))})
+    joined = own.join(kept, F.col("__id").eqNullSafe(F.col("__ki")) & F.col("__th").eqNullSafe(F.col("__kt")), "left_semi")
+    return joined.dropDuplicates(["__id", "__th"]).drop("__id", "__th")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
