@@ -3,11 +3,11 @@
 A text is a row of tokens: words, lower-cased, and one end. A token is coded in
 bits. The first tells whether it is in the dictionary, the most frequent words
 of the training texts; if so, the bits of its Shannon-Fano-Elias code follow,
-in an order that keeps words of like surroundings together; if not, its bytes
-and a space. Hashed contexts predict each bit: for the dictionary the place in
+in an order that keeps words of like surroundings together; if not, the Huffman
+codes of its bytes and a space. Hashed contexts predict each bit: for the dictionary the place in
 the code, alone and with the surroundings (the last accented letter's byte, the
 kind of the last word's last byte, or both); for spelled words the last one to
-four bytes and the word so far, partly with the surroundings. A context's count
+four bytes, partly with the surroundings. A context's count
 of zeros and ones gives a log-odds; the log-odds are added under weights that a
 gate chooses by how much two of the contexts have seen, and adaptive maps
 refine the sum. The probabilities of all bits multiply to the text's.
@@ -24,6 +24,7 @@ are broadcast, which bounds its size; all others are joined.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -36,12 +37,12 @@ from pyspark.sql import functions as F
 from .common import SPACES, buffer_of, docs_of, mixed, pieces, prefix_sums, span_hashes, spans_of, staged, table_of, texts_of
 
 BLANK = table_of(lambda b: b in SPACES)
-#: Bits of the contexts' tables: four for the dictionary's codes, six for spelled words.
-TABLES = (21, 21, 20, 21, 18, 20, 20, 20, 20, 20)
+#: Bits of the contexts' tables: four for the dictionary's codes, four for spelled words.
+TABLES = (21, 21, 20, 21, 18, 20, 20, 21)
 BASES = np.concatenate([[0], np.cumsum([1 << b for b in TABLES])])
 SLOTS = int(BASES[-1])
-#: Contexts, the two of them that choose the gate.
-CODE, SPELL = (0, 1, 2, 3), (4, 5, 6, 7, 8, 9)
+#: The contexts of either kind of bit.
+CODE, SPELL = (0, 1, 2, 3), (4, 5, 6, 7)
 BLOCK = 1 << 14
 ACCENTS, KINDS, RECENT = 18, 9, 12
 CLASSES = ACCENTS * KINDS
@@ -50,7 +51,7 @@ LEVELS = 32
 #: Tokens that are gathered before their pairs are scored, and pairs a step.
 TOKENS, PAIRS = 3_000_000, 40_000
 #: Pairs between two changes of the weights.
-STEP = 2500
+STEP = 5000
 #: Words of the dictionary, at most.
 FREQUENT = 1 << 20
 #: Least count of a word of the dictionary; what is rarer teaches how words are spelled.
@@ -118,7 +119,8 @@ def merged(parts: list[Words]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list
 class Dictionary:
     """Codes of the most frequent words by their hashes; the end's code stands apart."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, near: np.ndarray, ends: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, near: np.ndarray, ends: int, letters: np.ndarray):
+        self.letters = huffman(letters)
         every = np.concatenate([[max(1, ends)], counts]).astype(np.float64)
         order = np.lexsort((np.concatenate([[0], hashes]), -every, np.concatenate([[-1], near])))
         total = every.sum()
@@ -143,6 +145,19 @@ class Dictionary:
         return tuple(np.concatenate([[e], x]) for e, x in zip((self.end[2], self.end[0], self.end[1]), found, strict=True))
 
 
+def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Length and code of each byte by its count; bytes never met count as one."""
+    heap = [(int(c) + 1, b, (b,)) for b, c in enumerate(counts)]
+    heapq.heapify(heap)
+    length, code = np.zeros(256, np.int64), np.zeros(256, np.int64)
+    while len(heap) > 1:
+        (c, i, zeros), (d, _, ones) = heapq.heappop(heap), heapq.heappop(heap)
+        code[list(ones)] |= 1 << length[list(ones)]
+        length[list(zeros + ones)] += 1
+        heapq.heappush(heap, (c + d, i, zeros + ones))
+    return length, code
+
+
 def _fold(*parts: np.ndarray | int) -> np.ndarray:
     h = np.uint64(0)
     for p in parts:
@@ -151,7 +166,7 @@ def _fold(*parts: np.ndarray | int) -> np.ndarray:
     return h
 
 
-def steps(size: np.ndarray, data: np.ndarray, length: np.ndarray, code: np.ndarray, word: np.ndarray, cls: np.ndarray) -> Iterator[tuple[np.ndarray, tuple[int, ...], list[np.ndarray], np.ndarray]]:
+def steps(letters: tuple[np.ndarray, np.ndarray], size: np.ndarray, data: np.ndarray, length: np.ndarray, code: np.ndarray, word: np.ndarray, cls: np.ndarray) -> Iterator[tuple[np.ndarray, tuple[int, ...], list[np.ndarray], np.ndarray]]:
     """The bits of some (word, surroundings) pairs, many at once: pair, contexts' numbers, slot in each context's table, bit. Word 0 is the end."""
     place = lambda k, h: ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLES[k])).astype(np.int64) + int(BASES[k])
     coded = length[word] > 0
@@ -185,11 +200,14 @@ def steps(size: np.ndarray, data: np.ndarray, length: np.ndarray, code: np.ndarr
     begin = at - i
     a, s = cls[pair] // KINDS, cls[pair] % KINDS
     order = [span_hashes(sums, np.maximum(begin, at - k), at) + (i >= k).astype(np.uint64) for k in (1, 2, 3, 4)]
-    prefix = span_hashes(sums, begin, at)
-    contexts = [_fold(order[0], 1 + a), _fold(order[1], 101 + cls[pair]), _fold(order[2], 301 + s), _fold(order[3], 401), _fold(prefix, 501 + a), _fold(prefix, 601 + cls[pair])]
-    for b in range(8):
-        node = ((1 << b) | (byte >> (8 - b))).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        yield pair, SPELL, [place(k, c ^ node) for k, c in zip(SPELL, contexts, strict=True)], (byte >> (7 - b)) & 1
+    contexts = [_fold(order[0], 1 + a), _fold(order[1], 101 + cls[pair]), _fold(order[2], 301 + s), _fold(order[3], 401)]
+    wide, own = letters[0][byte], letters[1][byte]
+    for b in range(int(wide.max())):
+        on = np.flatnonzero(wide > b)
+        if len(on) < len(wide):
+            pair, wide, own, contexts = pair[on], wide[on], own[on], [c[on] for c in contexts]
+        node = ((1 << b) | (own >> (wide - b))).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        yield pair, SPELL, [place(k, c ^ node) for k, c in zip(SPELL, contexts, strict=True)], (own >> (wide - 1 - b)) & 1
 
 
 def _pairs(keyed: DataFrame) -> DataFrame:
@@ -257,7 +275,7 @@ def _counted(shared):
         for batch in batches:
             for at in range(0, batch.num_rows, PAIRS):
                 size, data, word, cls, n, length, code = _unpacked(batch.slice(at, PAIRS), shared.value)
-                for pair, _, slots, bit in steps(size, data, length, code, word, cls):
+                for pair, _, slots, bit in steps(shared.value.letters, size, data, length, code, word, cls):
                     weight = n[pair].astype(np.float32)
                     for s in slots:
                         np.add.at(flat, 2 * s + bit, weight)
@@ -282,32 +300,37 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def halved(counts: np.ndarray) -> np.ndarray:
-    """Counts within the range of 16-bit floats, with their proportions kept."""
+    """Counts within 16 bits, with their proportions kept."""
     top = counts.max(axis=1, keepdims=True)
-    return (counts * np.minimum(1, 60_000 / np.maximum(top, 1))).astype(np.float16)
+    return np.ceil(counts * np.minimum(1, 60_000 / np.maximum(top, 1))).astype(np.uint16)
 
 
 def context_counts(pairs: DataFrame, shared) -> np.ndarray:
-    """Zeros and ones that followed each slot, as 16-bit floats, SLOTS x 2."""
+    """Zeros and ones that followed each slot, in 16 bits, SLOTS x 2."""
     shares = pairs.mapInArrow(_counted(shared), "block int, sums binary")
     some = shares.repartition(F.col("block"), F.pmod(F.spark_partition_id(), F.lit(8))).mapInArrow(_added, "block int, sums binary")
     found = some.repartition("block").mapInArrow(_added, "block int, sums binary").toArrow()
-    out = np.zeros((SLOTS, 2), np.float16)
+    out = np.zeros((SLOTS, 2), np.uint16)
     for k, x in zip(found.column("block").to_pylist(), found.column("sums").to_pylist(), strict=True):
         at = k * BLOCK
         out[at : at + BLOCK] = halved(np.frombuffer(zlib.decompress(x), np.float32).reshape(-1, 2))[: SLOTS - at]
     return out
 
 
-def stretched(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    return np.log((ones + PRIOR) / (zeros + PRIOR))
+LOGS = np.log(np.arange(1 << 16) + PRIOR).astype(np.float32)
+#: Levels of what a context has seen, and what they mean for the gate.
+SEEN = np.array([0.5, 1.5, 3.5, 8.5, 60.5])
+RICH, OTHER = np.array([0, 1, 2, 2, 3, 4]), np.array([0, 0, 0, 1, 1, 2])
 
 
-def gate(contexts: tuple[int, ...], seen: list[np.ndarray]) -> np.ndarray:
+def gate(contexts: tuple[int, ...], rich: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Number of the weights: five levels of what the richest context has seen by three of another; spelled bits have their own."""
-    rich, other = (3, 0) if contexts == CODE else (5, 3)
-    a = (seen[rich] > 0.5).astype(np.int64) + (seen[rich] > 1.5) + (seen[rich] > 8.5) + (seen[rich] > 60.5)
-    return 3 * a + (seen[other] > 3.5) + (seen[other] > 60.5) + (0 if contexts == CODE else GATES // 2)
+    return 3 * RICH[rich] + OTHER[other] + (0 if contexts == CODE else GATES // 2)
+
+
+def deciding(contexts: tuple[int, ...]) -> tuple[int, int]:
+    """The places of the two contexts that choose the gate."""
+    return (3, 0) if contexts == CODE else (3, 1)
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -319,7 +342,7 @@ def level(x: np.ndarray) -> np.ndarray:
 
 
 def start_weights() -> np.ndarray:
-    w = np.full((GATES, 6), 0.25)
+    w = np.full((GATES, 4), 0.25)
     w[: GATES // 2, :4] = (0.5, 0.3, 0.35, 0.3)
     return w
 
@@ -329,21 +352,25 @@ def _learned(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, dictionary = shared.value
-        w, speed, mass = start_weights(), np.full((GATES, 6), 1e-3), np.zeros(GATES)
+        packed = counts.view("<u4").ravel()
+        w, speed, mass = start_weights(), np.full((GATES, 4), 1e-3), np.zeros(GATES)
         maps = np.zeros((GATES * LEVELS, 2))
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
                 size, data, word, cls, n, length, code = _unpacked(batch.slice(at, STEP), dictionary)
-                for pair, contexts, slots, one in steps(size, data, length, code, word, cls):
+                for pair, contexts, slots, one in steps(dictionary.letters, size, data, length, code, word, cls):
                     weight = n[pair].astype(np.float64)
-                    x, seen, every = [], [], np.arange(len(one))
-                    for s in slots:
-                        c = counts[s].astype(np.float32)
+                    x, seen, is_one = [], {}, one == 1
+                    for k, slot in enumerate(slots):
+                        both = packed[slot]
                         # The occurrence itself is left out.
-                        c[every, one] = np.maximum(c[every, one] - 1, 0)
-                        x.append(stretched(c[:, 0], c[:, 1]))
-                        seen.append(c.sum(axis=1))
-                    g = gate(contexts, seen)
+                        zeros, ones = both & 0xFFFF, both >> 16
+                        zeros -= ~is_one & (zeros > 0)
+                        ones -= is_one & (ones > 0)
+                        x.append(LOGS[ones] - LOGS[zeros])
+                        if k in deciding(contexts):
+                            seen[k] = np.searchsorted(SEEN, zeros + ones)
+                    g = gate(contexts, *[seen[k] for k in deciding(contexts)])
                     total = np.clip(sum(w[g, k] * x[k] for k in range(len(x))), -12, 12)
                     wrong = (one - squash(total)) * weight
                     m = np.bincount(g, weight, GATES)
@@ -359,17 +386,20 @@ def _learned(shared):
     return run
 
 
+#: Log-odds are kept as multiples of its inverse in 8 bits.
+ODDS = 9
+
+
 class Model:
     """What scoring needs: log-odds and evidence of every slot, weights by gate, maps."""
 
     def __init__(self, counts: np.ndarray, weights: np.ndarray, maps: np.ndarray, dictionary: Dictionary):
         self.dictionary = dictionary
-        self.odds = np.empty(SLOTS, np.float16)
-        self.seen = np.empty(SLOTS, np.float16)
+        self.odds, self.seen = np.empty(SLOTS, np.int8), np.empty(SLOTS, np.uint8)
         for at in range(0, SLOTS, 1 << 20):
-            c = counts[at : at + (1 << 20)].astype(np.float32)
-            self.odds[at : at + (1 << 20)] = stretched(c[:, 0], c[:, 1])
-            self.seen[at : at + (1 << 20)] = np.minimum(c.sum(axis=1), 60_000)
+            c = counts[at : at + (1 << 20)]
+            self.odds[at : at + (1 << 20)] = np.rint(ODDS * (LOGS[c[:, 1]] - LOGS[c[:, 0]]))
+            self.seen[at : at + (1 << 20)] = np.searchsorted(SEEN, c.sum(axis=1, dtype=np.int64))
         self.weights = weights
         middle = squash((np.arange(LEVELS) + 0.5) * 16 / LEVELS - 8)
         self.maps = ((maps[:, 1] + 20 * np.tile(middle, GATES)) / (maps.sum(axis=1) + 20)).astype(np.float64)
@@ -377,6 +407,7 @@ class Model:
     def told(self, size: np.ndarray, data: np.ndarray, length: np.ndarray, code: np.ndarray, word: np.ndarray, cls: np.ndarray) -> np.ndarray:
         """Log10 probability of each (word, surroundings) pair."""
         out = np.zeros(len(word))
+        scaled = (self.weights.T / ODDS).astype(np.float32)
         for at in range(0, len(word), PAIRS):
             own = slice(at, at + PAIRS)
             used, words = np.unique(np.concatenate([[0], word[own]]), return_inverse=True)
@@ -384,11 +415,11 @@ class Model:
             start = np.cumsum(n) - n
             few = n[used[1:]]
             text = data[np.arange(few.sum()) - np.repeat(np.cumsum(few) - few - start[used[1:]], few)]
-            for pair, contexts, slots, one in steps(few, text, length[used], code[used], words[1:], cls[own]):
-                g = gate(contexts, [self.seen[s].astype(np.float32) if k in (0, 3, 5) else None for k, s in enumerate(slots)])
-                total = np.zeros(len(one))
-                for k, s in enumerate(slots):
-                    total += self.weights[g, k] * self.odds[s].astype(np.float32)
+            for pair, contexts, slots, one in steps(self.dictionary.letters, few, text, length[used], code[used], words[1:], cls[own]):
+                g = gate(contexts, *[self.seen[slots[k]] for k in deciding(contexts)])
+                total = np.zeros(len(one), np.float32)
+                for k, slot in enumerate(slots):
+                    total += scaled[k][g] * self.odds[slot]
                 total = np.clip(total, -12, 12)
                 p = np.clip(0.5 * squash(total) + 0.5 * self.maps[g * LEVELS + level(total)], 1e-6, 1 - 1e-6)
                 out[own] += np.bincount(pair, np.log10(np.where(one == 1, p, 1 - p)), len(words) - 1)
@@ -404,7 +435,9 @@ def train(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT) ->
     plain = words.where(F.col("word") != F.lit(END))
     least = _least(plain, frequent)
     found = plain.where(F.col("n") >= least).toArrow()
-    dictionary = Dictionary(_hashed(found.column("word").to_pylist()), found.column("n").to_numpy(), found.column("near").to_numpy(), ends or 0)
+    spelled = plain.where(F.col("n") < least).select("word").mapInArrow(_letters, "sums binary").toArrow()
+    letters = sum((np.frombuffer(x, np.int64) for x in spelled.column("sums").to_pylist()), np.zeros(256, np.int64))
+    dictionary = Dictionary(_hashed(found.column("word").to_pylist()), found.column("n").to_numpy(), found.column("near").to_numpy(), ends or 0, letters)
     counts = context_counts(pairs, sc.broadcast(dictionary))
     shared = sc.broadcast((counts, dictionary))
     found = pairs.mapInArrow(_learned(shared), "w binary, mass binary, maps binary").toArrow()
@@ -412,12 +445,21 @@ def train(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT) ->
     mass = get("mass", GATES)
     share = mass / np.maximum(mass.sum(axis=0), 1)
     known = mass.sum(axis=0) > 0
-    weights = np.where(known[:, None], (get("w", GATES, 6) * share[:, :, None]).sum(axis=0), start_weights())
+    weights = np.where(known[:, None], (get("w", GATES, 4) * share[:, :, None]).sum(axis=0), start_weights())
     model = Model(counts, weights, get("maps", GATES * LEVELS, 2).sum(axis=0), dictionary)
     shared.unpersist()
     return model, plain.where(F.col("n") < least).select("word", "n"), (total or 0, distinct)
 
 
+def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each byte stands in this task's words and the spaces after them."""
+    sums = np.zeros(256, np.int64)
+    for batch in batches:
+        words = batch.column("word").to_pylist()
+        sums += np.bincount(np.frombuffer(b" ".join([*words, b""]), np.uint8), minlength=256)
+    yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()])], names=["sums"])
+
+
 def _least(words: DataFrame, limit: int) -> int:
     """The least power of two, LEAST or more, such that at most limit words have that count."""
     sizes = {r.k: r["count"] for r in words.groupBy(F.floor(F.log2("n")).alias("k")).count().collect()}

@@ -53,11 +53,14 @@ def test_counts_and_base_score_match_brute_force(spark):
 
 def test_probabilities_of_a_token_add_up_to_one():
     hashes = M._hashed([b"aa", b"ab", b"b", b"q"])
-    d = M.Dictionary(hashes, np.array([40, 20, 9, 8]), np.array([0, 0, 1, 0]), 30)
+    d = M.Dictionary(hashes, np.array([40, 20, 9, 8]), np.array([0, 0, 1, 0]), 30, np.zeros(256))
     lengths, codes = np.append(d.length, d.end[0]), np.append(d.code, d.end[1])
     assert sum(2.0**-x for x in lengths) <= 1
     full = sorted((format(int(c), f"0{int(n)}b") for c, n in zip(codes, lengths)))
     assert not any(b.startswith(a) for a, b in zip(full, full[1:]))
+    length, code = M.huffman(np.arange(256) ** 3)
+    full = sorted(format(int(c), f"0{int(n)}b") for c, n in zip(code, length))
+    assert sum(2.0**-x for x in length) == 1 and not any(b.startswith(a) for a, b in zip(full, full[1:]))
 
 
 def test_scores_do_not_depend_on_what_stands_beside(spark):
