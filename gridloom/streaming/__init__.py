@@ -1 +1,19 @@
+"""Streams of cells into stored arrays."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+
+def write_stream(cells: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Writes a stream of cells i0..., value into the array stored at path, one version a micro-batch; a batch that comes again changes nothing."""
+    from ..operators.array import ArrayFrame
+
+    def put(batch: DataFrame, _: int) -> None:
+        array = ArrayFrame.open(batch.sparkSession, path)
+        named = batch.select(*[batch[f"i{i}"].alias(f"o{i}") for i in range(array.meta.rank)], "value")
+        array.write(None, named).save(path)
+
+    writer = cells.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
