@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codecs import Pipeline
 from ..functions.dtypes import arrow_values, coerced, numpy_type, numpy_values, spark_type, wrapped
-from ..functions.layout import chunk_columns, chunk_key_column, offset_column, size, strides
+from ..functions.layout import chunk_columns, chunk_key_column, edge_columns, offset_column, size, strides
 from ..plans.inference import probed
 from ..plans.selection import Dim, chunk_filter, chunk_plan, is_total, normalized, result_shape
 from ..sources import store
@@ -26,10 +26,15 @@ def _coords(rank: int) -> list[str]:
 
 @dataclass(frozen=True)
 class ArrayFrame:
-    """An array: its metadata and a table of encoded chunks (c0..., key, payload); a chunk that is missing holds the fill value."""
+    """An array: its metadata and a table of encoded chunks (c0..., key, payload).
+
+    A chunk that is missing holds the fill value. complete says that none is
+    missing, which saves looking for them.
+    """
 
     meta: ArrayMeta
     chunks: DataFrame
+    complete: bool = False
 
     # Building
 
@@ -39,9 +44,32 @@ class ArrayFrame:
         return ArrayFrame(meta, spark.createDataFrame([], f"{head}key string, payload binary"))
 
     @staticmethod
-    def from_cells(cells: DataFrame, meta: ArrayMeta) -> ArrayFrame:
-        """From cells i0..., value; one shuffle brings a chunk's cells together. Of cells that repeat a place the highest value stays."""
-        return ArrayFrame(meta, _encoded(meta, _gathered(meta, cells)))
+    def from_cells(cells: DataFrame, meta: ArrayMeta, complete: bool = False) -> ArrayFrame:
+        """From cells i0..., value; one shuffle brings a chunk's cells together.
+
+        Of cells that repeat a place the highest value stays. complete is the
+        caller's word that every chunk has a cell.
+        """
+        return ArrayFrame(meta, _encoded(meta, _gathered(meta, cells)), complete)
+
+    @staticmethod
+    def generate(spark: SparkSession, meta: ArrayMeta, values: Callable[[np.ndarray], np.ndarray]) -> ArrayFrame:
+        """From a function of the places in C order (an array of 64-bit integers); chunks are made where they are encoded, without a shuffle."""
+        plan = chunk_plan(spark, meta, normalized(None, meta.shape))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pipeline = Pipeline(meta.dtype, meta.chunks, meta.codecs)
+            for batch in batches:
+                for row, (coords, edge, _) in enumerate(_rows_of(batch, meta.rank)):
+                    at = np.zeros(edge, np.int64)
+                    for axis, (k, c, e, step) in enumerate(zip(coords, meta.chunks, edge, strides(meta.shape), strict=True)):
+                        at = at + ((k * c + np.arange(e)) * step).reshape([-1 if i == axis else 1 for i in range(meta.rank)])
+                    chunk = np.full(meta.chunks, meta.fill_scalar())
+                    chunk[tuple(slice(0, e) for e in edge)] = coerced(values(at), meta.dtype)
+                    part = batch.slice(row, 1)
+                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in _coords(meta.rank)], part.column("key"), pa.array([pipeline.encode(chunk)], pa.binary())], names=[*_coords(meta.rank), "key", "payload"])
+
+        return ArrayFrame(meta, plan.withColumn("payload", F.lit(None).cast("binary")).mapInArrow(run, _chunk_schema(meta)), True)
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> ArrayFrame:
@@ -73,17 +101,22 @@ class ArrayFrame:
     def read(self, selection=None) -> DataFrame:
         """The selected cells: o0... for the dimensions that stay, value.
 
-        Only chunks that hold a selected cell are planned; the chunk table is
-        pruned by their range and joined from the left, so that missing chunks
-        give the fill value. A chunk's selected cells are cut out in numpy
-        before any row is made.
+        Chunks are decoded where they are scanned, after pruning the table by
+        the range of the selection, and their selected cells are cut out in
+        numpy before any row is made; payloads are never shuffled. Chunks that
+        hold a selected cell but are missing come from the plan by an anti join
+        on keys alone.
         """
         meta, dims = self.meta, normalized(selection, self.meta.shape)
-        plan = chunk_plan(self.chunks.sparkSession, meta, dims)
-        found = self.chunks.where(chunk_filter(dims, meta.chunks)).select("key", "payload")
+        found = self.chunks.where(chunk_filter(dims, meta.chunks))
+        rows = _with_edges(meta, found)
+        if not self.complete:
+            plan = chunk_plan(self.chunks.sparkSession, meta, dims)
+            missing = plan.join(found.select("key"), "key", "left_anti").withColumn("payload", F.lit(None).cast("binary"))
+            rows = rows.unionByName(missing.select(rows.columns))
         kept = [i for i, d in enumerate(dims) if d.keep]
         schema = "".join(f"o{j} long, " for j in range(len(kept))) + f"value {spark_type(meta.dtype)}"
-        return plan.join(found, "key", "left").mapInArrow(_reader(meta, dims, kept), schema)
+        return rows.mapInArrow(_reader(meta, dims, kept), schema)
 
     def scalar(self, selection):
         """The one value of a selection of whole numbers."""
@@ -109,12 +142,16 @@ class ArrayFrame:
 
         Chunks that the selection covers whole are made anew without reading
         the old ones; others are read, changed and encoded. Chunks that hold no
-        selected cell keep their bytes.
+        selected cell keep their bytes. The chunks in the selection's range are
+        written to the shared folder at once, the others are only filtered, so
+        a row of writes neither recomputes nor copies the whole array.
         """
         meta, dims = self.meta, normalized(selection, self.meta.shape)
         spark = self.chunks.sparkSession
         plan = chunk_plan(spark, meta, dims)
-        touched = self.chunks.where(chunk_filter(dims, meta.chunks)).select("key", "payload")
+        near = chunk_filter(dims, meta.chunks)
+        far = self.chunks.where(~near)
+        touched = self.chunks.where(near)
         if isinstance(value, DataFrame):
             kept = [i for i, d in enumerate(dims) if d.keep]
             if sorted(c for c in value.columns if c != "value") != sorted(f"o{j}" for j in range(len(kept))):
@@ -124,13 +161,16 @@ class ArrayFrame:
             checked = value.select(*[F.when(ok, F.col(f"o{j}")).otherwise(F.raise_error(F.lit(f"o{j} lies outside the selection"))).alias(f"o{j}") for j, ok in enumerate(inside)], "value")
             cells = _gathered(meta, checked.select(*[where[i].alias(f"i{i}") for i in range(meta.rank)], "value")).select("key", "offs", "vals")
             plan = plan.join(cells, "key", "left")
-            scalar = None
-        else:
-            scalar = coerced([value], meta.dtype)[0]
-            plan = plan.withColumns({"offs": F.lit(None).cast("array<bigint>"), "vals": F.lit(None).cast(f"array<{spark_type(meta.dtype)}>")})
-        made = plan.join(touched, "key", "left").mapInArrow(_writer(meta, dims, scalar), _chunk_schema(meta))
-        keep = self.chunks.join(plan.select("key"), "key", "left_anti").select(made.columns)
-        return ArrayFrame(meta, keep.unionByName(made))
+            made = plan.join(touched.select("key", "payload"), "key", "left").mapInArrow(_writer(meta, dims, None), _chunk_schema(meta))
+            keep = touched.join(plan.select("key"), "key", "left_anti").select(made.columns)
+            return ArrayFrame(meta, far.unionByName(store.staged(keep.unionByName(made))), self.complete)
+        # A number changes chunks where they are scanned.
+        rows = _with_edges(meta, touched)
+        if not self.complete:
+            missing = plan.join(touched.select("key"), "key", "left_anti").withColumn("payload", F.lit(None).cast("binary"))
+            rows = rows.unionByName(missing.select(rows.columns))
+        made = rows.mapInArrow(_writer(meta, dims, coerced([value], meta.dtype)[0]), _chunk_schema(meta))
+        return ArrayFrame(meta, far.unionByName(store.staged(made)), self.complete)
 
     def save(self, path: str) -> ArrayFrame:
         """Stores the array as a new version at path, which may be where it was read from, and opens it."""
@@ -152,6 +192,12 @@ def _chunk_schema(meta: ArrayMeta) -> str:
     return "".join(f"c{i} long, " for i in range(meta.rank)) + "key string, payload binary"
 
 
+def _with_edges(meta: ArrayMeta, chunks: DataFrame) -> DataFrame:
+    """The chunks with their shape within the array."""
+    edges = edge_columns(meta.shape, meta.chunks, [F.col(c) for c in _coords(meta.rank)])
+    return chunks.select(*_coords(meta.rank), "key", *[e.alias(f"e{i}") for i, e in enumerate(edges)], "payload")
+
+
 def _gathered(meta: ArrayMeta, cells: DataFrame) -> DataFrame:
     """c0..., key, offs, vals: a chunk's cells, at most as many as it has places."""
     index = [F.col(f"i{i}").cast("long") for i in range(meta.rank)]
@@ -216,6 +262,9 @@ def _writer(meta: ArrayMeta, dims: Sequence[Dim], scalar):
         for batch in batches:
             out = []
             for row, (coords, edge, payload) in enumerate(_rows_of(batch, meta.rank)):
+                if scalar is not None and payload is not None and not all(len(d.inside(k, c)) for d, k, c in zip(dims, coords, meta.chunks, strict=True)):
+                    out.append(payload)
+                    continue
                 chunk = np.full(meta.chunks, meta.fill_scalar())
                 if payload is not None and not (scalar is not None and is_total(dims, coords, meta.chunks, meta.shape)):
                     chunk[tuple(slice(0, e) for e in edge)] = pipeline.decode(payload, edge)

@@ -39,7 +39,7 @@ class Tasks:
 
         def watch() -> None:
             while not done.wait(0.05):
-                jobs = sc.statusTracker().getJobIdsForTag(tag)
+                jobs = sc.statusTracker().getJobIdsForGroup(tag)
                 stages = [s for j in jobs if (i := sc.statusTracker().getJobInfo(j)) for s in i.stageIds]
                 n = sum(i.numCompletedTasks for s in stages if (i := sc.statusTracker().getStageInfo(s)))
                 if n > heard[0]:
@@ -50,6 +50,7 @@ class Tasks:
         if watcher:
             watcher.start()
         sc.addJobTag(tag)
+        sc.setJobGroup(tag, f"{len(tasks)} tasks")
         try:
             out = sc.parallelize(list(enumerate(tasks)), len(tasks)).map(lambda x: (x[0], x[1]())).collect()
         except Exception as e:
@@ -58,6 +59,7 @@ class Tasks:
             raise
         finally:
             sc.removeJobTag(tag)
+            sc.setLocalProperty("spark.jobGroup.id", None)
             done.set()
             if watcher:
                 watcher.join()

@@ -50,18 +50,18 @@ def _length(df: DataFrame, column: str) -> int:
 def emb(spark: SparkSession, d: str, chunks: Sequence[int] = (100, 16), spec: Sequence[dict] = ZSTD, dtype: str = "float32") -> ArrayFrame:
     t = _table(spark, d, "embeddings")
     cells = t.select(F.col("vec_id").alias("i0"), F.posexplode("embedding").alias("i1", "value"))
-    return ArrayFrame.from_cells(cells, ArrayMeta((_length(t, "vec_id"), 64), chunks, dtype, spec))
+    return ArrayFrame.from_cells(cells, ArrayMeta((_length(t, "vec_id"), 64), chunks, dtype, spec), complete=True)
 
 
 def price1(spark: SparkSession, d: str, chunk: int = 1000, spec: Sequence[dict] = ZSTD) -> ArrayFrame:
     t = _table(spark, d, "orders")
-    return ArrayFrame.from_cells(t.select(F.col("o_orderkey").alias("i0"), F.col("o_totalprice").alias("value")), ArrayMeta((_length(t, "o_orderkey"),), (chunk,), "float64", spec))
+    return ArrayFrame.from_cells(t.select(F.col("o_orderkey").alias("i0"), F.col("o_totalprice").alias("value")), ArrayMeta((_length(t, "o_orderkey"),), (chunk,), "float64", spec), complete=True)
 
 
 def price3(spark: SparkSession, d: str, chunks: Sequence[int] = (7, 4, 3)) -> ArrayFrame:
     t, k = _table(spark, d, "orders"), F.col("o_orderkey")
     cells = t.select(F.floor(k / 100).alias("i0"), F.pmod(F.floor(k / 10), F.lit(10)).alias("i1"), F.pmod(k, F.lit(10)).alias("i2"), F.col("o_totalprice").alias("value"))
-    return ArrayFrame.from_cells(cells, ArrayMeta((_length(t, "o_orderkey") // 100, 10, 10), chunks, "float64", ZSTD))
+    return ArrayFrame.from_cells(cells, ArrayMeta((_length(t, "o_orderkey") // 100, 10, 10), chunks, "float64", ZSTD), complete=True)
 
 
 def label(spark: SparkSession, d: str, chunk: int = 64) -> ArrayFrame:
@@ -272,6 +272,12 @@ def synthetic_array(spark, d):
     return ArrayFrame.from_cells(synthetic(spark, meta), meta).read()
 
 
+@query("select range // 400 as o0, (range // 20) % 20 as o1, range % 20 as o2, (range % 65536)::int as value from range(12000)")
+def generated_array(spark, d):
+    meta = ArrayMeta((30, 20, 20), (8, 9, 7), "uint16", ZSTD)
+    return ArrayFrame.generate(spark, meta, lambda at: at % 65536).read()
+
+
 GOLDEN = [(397312, (96, 96, 96), (386, 256, 256)), (794624, (96, 96, 96), (773, 512, 512)), (1589248, (96, 96, 96), (1546, 1024, 1024)), (921600, (96, 96, 96), (400, 384, 384)), (8192, (64, 64), (256, 512)), (16384, (64, 64), (512, 512)), (12, (3, 3), (12, 8)), (7, (96, 96, 96), (386, 256, 256))]
 
 

@@ -8,8 +8,8 @@ read by the binaryFile source and written by the executors.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +51,18 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
         raise OSError(f"{path} could not be renamed into place")
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """df written once to the folder in spark.checkpoint.dir, which all executors share, and read again; a temporary folder where that is unset, as on one machine."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = "file://" + tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    path = f"{shared.rstrip('/')}/chunks-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def save(meta: ArrayMeta, chunks: DataFrame, path: str) -> None:
     """A new version of the store; the old one stays readable until the pointer moves."""
     spark, version = chunks.sparkSession, uuid.uuid4().hex
@@ -106,7 +118,3 @@ def synthetic(spark: SparkSession, meta: ArrayMeta) -> DataFrame:
     value = i % 256 if meta.dtype == "uint8" else i % 65536 if meta.dtype == "uint16" else i * 0.5
     cells = [F.pmod(F.floor(i / F.lit(s)), F.lit(n)).cast("long").alias(f"i{d}") for d, (s, n) in enumerate(zip(strides(meta.shape), meta.shape, strict=True))]
     return spark.range(size(meta.shape)).select(*cells, value.alias("value"))
-
-
-def union_all(tables: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), tables)
