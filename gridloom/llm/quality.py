@@ -203,4 +203,4 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = word_vectors(docs)
     network = train(docs, docs_of(spark, sf_dir, "labels"), table, held_out="crc32(cast(id as string)) % 5 = 0")
     scored = score_quality(docs, table, network, keep=["doc_id"], out_col="q")
-    return scored.select("doc_id", F.expr("crc32(cast(doc_id as string)) % 5 = 0").alias("held_out"), F.col("q.score").alias("score"), (F.col("q.score") >= ACCEPT).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.expr("coalesce(crc32(cast(doc_id as string)) % 5 = 0, false)").alias("held_out"), F.col("q.score").alias("score"), (F.col("q.score") >= ACCEPT).cast("int").alias("predicted"))

@@ -158,4 +158,4 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs_of(spark, sf_dir).select("doc_id", "text")
     model = train(docs, docs_of(spark, sf_dir, "labels"), held_out=f"{remainder(3)} = 1")
     scored = score_toxicity(docs, model, keep=["doc_id"])
-    return scored.select("doc_id", F.expr("crc32(cast(doc_id as string)) % 3 = 1").alias("held_out"), F.col("toxicity.score").alias("score"), (F.col("toxicity.score") >= REJECT).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.expr("coalesce(crc32(cast(doc_id as string)) % 3 = 1, false)").alias("held_out"), F.col("toxicity.score").alias("score"), (F.col("toxicity.score") >= REJECT).cast("int").alias("predicted"))
