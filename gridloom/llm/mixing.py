@@ -57,7 +57,7 @@ FREQUENT = 1 << 20
 #: Least count of a word of the dictionary; what is rarer teaches how words are spelled.
 LEAST = 8
 PRIOR = 0.15
-RATE = 0.05
+RATE = 0.006
 END = b"\n"
 
 
