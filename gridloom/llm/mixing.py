@@ -75,9 +75,10 @@ class Words:
         self.bytes = buf[np.arange(size.sum()) - np.repeat(at - starts[first], size)]
         self.size = size
         counts = np.bincount(doc, minlength=len(texts))
-        self.doc = np.concatenate([doc, np.arange(len(texts))])
-        self.word = np.concatenate([word + 1, np.zeros(len(texts), np.int64)])
-        self.cls = self.surroundings(buf, starts, ends, doc, counts)
+        # Held for many texts at once, so in 32 bits.
+        self.doc = np.concatenate([doc, np.arange(len(texts))]).astype(np.int32)
+        self.word = np.concatenate([word + 1, np.zeros(len(texts), np.int64)]).astype(np.int32)
+        self.cls = self.surroundings(buf, starts, ends, doc, counts).astype(np.int32)
         self.n_tokens = counts + 1
         self.n_bytes = np.bincount(doc, ends - starts + 1, len(texts)).astype(np.int64) + 1
 
@@ -511,7 +512,7 @@ def score_texts(docs: DataFrame, model: Model, rest: DataFrame, trained: tuple[i
                 # Words that are not broadcast: one row a text and word, for the join.
                 odd = rare[word]
                 if odd.any():
-                    left, tf = np.unique(p.doc[odd] * (len(size) + 1) + word[odd], return_counts=True)
+                    left, tf = np.unique(p.doc[odd].astype(np.int64) * (len(size) + 1) + word[odd], return_counts=True)
                     which = left % (len(size) + 1)
                     words_only = _rows(size, data, which, [], [])
                     k = len(left)
