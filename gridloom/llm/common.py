@@ -99,8 +99,10 @@ def prefix_sums(buf: np.ndarray) -> np.ndarray:
     """Polynomial prefix sums modulo 2**64, from which the hash of any span follows in constant time."""
     up, _ = powers(len(buf) + 1)
     out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=out[1:])
-    return out
+    out[1:] = buf
+    out[1:] += np.uint64(1)
+    out[1:] *= up[: len(buf)]
+    return np.cumsum(out, out=out)
 
 
 def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -49,7 +49,9 @@ CLASSES = ACCENTS * KINDS
 GATES = 30
 LEVELS = 32
 #: Tokens that are gathered before their pairs are scored, and pairs a step.
-TOKENS, PAIRS = 3_000_000, 40_000
+TOKENS, PAIRS = 3_000_000, 20_000
+#: Bytes of text that are cut into words at once.
+PIECE = 1 << 20
 #: Pairs between two changes of the weights.
 STEP = 5000
 #: Words of the dictionary, at most.
@@ -82,7 +84,6 @@ class Words:
         self.n_tokens = counts + 1
         self.n_bytes = np.bincount(doc, ends - starts + 1, len(texts)).astype(np.int64) + 1
 
-
     @staticmethod
     def surroundings(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """For every word, then every text's end: the last accented letter within RECENT words and the kind of the last byte before it."""
@@ -114,7 +115,19 @@ def merged(parts: list[Words]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list
     size = sizes[first]
     data = flat[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - at, size)]
     edges = np.cumsum([0, *[len(p.hashes) for p in parts]])
-    return hashes, size, data, [np.concatenate([[0], back[a:b] + 1]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return hashes, size, data, [np.concatenate([[0], back[a:b] + 1]).astype(np.int32) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def pair_keys(parts: list[Words], numbers: list[np.ndarray], words: int) -> np.ndarray:
+    """word * CLASSES + class of every token of the parts, in 32 bits if the words' number allows it."""
+    kind = np.int32 if (words + 1) * CLASSES < 1 << 31 else np.int64
+    out, at = np.empty(sum(len(p.word) for p in parts), kind), 0
+    for p, m in zip(parts, numbers, strict=True):
+        own = out[at : at + len(p.word)]
+        np.multiply(m[p.word], CLASSES, out=own, dtype=kind)
+        own += p.cls
+        at += len(p.word)
+    return out
 
 
 class Dictionary:
@@ -217,7 +230,7 @@ def _pairs(keyed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts, _ in _groups(batches):
             _, size, data, numbers = merged(parts)
-            keys = np.concatenate([m[p.word] * CLASSES + p.cls for p, m in zip(parts, numbers, strict=True)])
+            keys = pair_keys(parts, numbers, len(size))
             keys, n = np.unique(keys, return_counts=True)
             yield _rows(size, data, keys // CLASSES, [pa.array((keys % CLASSES).astype(np.int32)), pa.array(n)], ["cls", "n"])
 
@@ -239,7 +252,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[Words], li
     """The rows' words in groups of about TOKENS tokens, with the rows without their texts."""
     parts, rows, held = [], [], 0
     for batch in batches:
-        for part in pieces(batch, "t"):
+        for part in pieces(batch, "t", PIECE):
             parts.append(Words(texts_of(part, "t")))
             rows.append(part.drop_columns(["t"]))
             held += len(parts[-1].doc)
@@ -494,14 +507,14 @@ def score_texts(docs: DataFrame, model: Model, rest: DataFrame, trained: tuple[i
             hashes, size, data, numbers = merged(parts)
             count, length, code = model.dictionary.find(hashes)
             rare = length == 0
-            keys = np.concatenate([m[p.word] * CLASSES + p.cls for p, m in zip(parts, numbers, strict=True)])
-            keys, back = np.unique(keys, return_inverse=True)
-            told = model.told(size, data, length, code, keys // CLASSES, keys % CLASSES)[back]
+            keys, back = np.unique(pair_keys(parts, numbers, len(size)), return_inverse=True)
+            back = back.astype(np.int32)
+            told = model.told(size, data, length, code, keys // CLASSES, keys % CLASSES)
             at = 0
             for p, m, own in zip(parts, numbers, rows, strict=True):
                 n = own.num_rows
                 word = m[p.word]
-                score = np.bincount(p.doc, told[at : at + len(word)], n)
+                score = np.bincount(p.doc, told[back[at : at + len(word)]], n)
                 at += len(word)
                 base = np.bincount(p.doc, np.log10(count[word] + 1), n)
                 seen = np.bincount(p.doc, count[word] > 0, n).astype(np.int64)
