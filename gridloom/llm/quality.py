@@ -160,7 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, table: np.ndarray, id_col: str = "
     """A network from at most sample labelled rows (half of either label, if there are so many) whose ids don't fulfil held_out; None without both labels.
 
     Ids or labels that are null or labels other than 0 and 1 are left out; of
-    several labels of an id the highest counts. Shares of the labels differ
+    several labels of an id the highest counts, and of rows that repeat an id
+    one. Shares of the labels differ
     from those of all rows only where a label has more than half the sample.
     """
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("id is not null and label in (0, 1)")
@@ -175,9 +176,10 @@ def train(docs: DataFrame, labels: DataFrame, table: np.ndarray, id_col: str = "
         for batch in batches:
             for part in pieces(batch, "t"):
                 x = pooled(texts_of(part, "t"), shared.value)
-                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([v.tobytes() for v in x], pa.binary())], names=["label", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), pa.array([v.tobytes() for v in x], pa.binary())], names=["id", "label", "x"])
 
-    found = rows.mapInArrow(run, "label int, x binary").toArrow()
+    kind = rows.schema["id"].dataType.simpleString()
+    found = rows.mapInArrow(run, f"id {kind}, label int, x binary").groupBy("id", "label").agg(F.min("x").alias("x")).toArrow()
     y = found.column("label").to_numpy().astype(np.float64)
     if len(np.unique(y)) < 2:
         return None

@@ -99,7 +99,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Ids or labels that are null or labels other than 0 and 1 are left out; of
     several labels of an id the highest counts, and of rows that repeat an id
-    each. Without any labels the weights are empty and every score is 0.5.
+    one, so that no id fills the sample. Without any labels the weights are
+    empty and every score is 0.5.
     """
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("id is not null and label in (0, 1)")
     if held_out:
@@ -121,7 +122,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w)], names=["at", "w"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(extract, f"id {kind}, label int, x binary").repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "x").mapInArrow(learn, "at long, w double").toArrow()
+    each = rows.mapInArrow(extract, f"id {kind}, label int, x binary").groupBy("id", "label").agg(F.min("x").alias("x"))
+    found = each.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "x").mapInArrow(learn, "at long, w double").toArrow()
     at, w = found.column("at").to_numpy(), found.column("w").to_numpy()
     order = np.argsort(at)
     return at[order], w[order]

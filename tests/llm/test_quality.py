@@ -41,6 +41,8 @@ def test_learns_and_defines_every_case(spark):
     s = {r.doc_id: r.quality_score.score for r in got}
     assert np.mean([(s[i] >= 0.5) == (i % 4 > 0) for i in range(900)]) > 0.98
     assert s[9001] == s[9002] and all(0 <= x <= 1 for x in s.values())
+    more = Q.train(docs.unionByName(docs.where("doc_id = 7").join(spark.range(500).select(), how="cross")), known, table, held_out="crc32(cast(id as string)) % 5 = 0")
+    assert all(np.allclose(a, b) for a, b in zip(more.p, net.p, strict=True))
     assert Q.train(docs, known.limit(0), table) is None
     assert {r.quality_score.score for r in Q.score_quality(docs, table, None).collect()} == {0.5}
     assert Q.score_quality(docs.limit(0), table, net).collect() == []

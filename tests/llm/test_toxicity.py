@@ -42,6 +42,8 @@ def test_learns_and_defines_every_case(spark):
     assert all(0 <= x <= 1 for x in s.values())
     again = X.train(docs.repartition(3), known, held_out=f"{X.remainder(3)} = 1")
     assert np.array_equal(again[0], model[0]) and np.array_equal(again[1], model[1])
+    more = X.train(docs.unionByName(docs.where("doc_id = 7").join(spark.range(500).select(), how="cross")), known, held_out=f"{X.remainder(3)} = 1")
+    assert np.array_equal(more[0], model[0]) and np.array_equal(more[1], model[1])
     none = X.train(docs, known.limit(0))
     assert {r.toxicity.score for r in X.score_toxicity(docs, none).collect()} == {0.5}
     assert X.score_toxicity(docs.limit(0), none).collect() == []
