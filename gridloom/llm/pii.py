@@ -11,7 +11,8 @@ and is removed where it stands near e. Entities are generalised to their kind.
 The patterns are written so that a search takes linear time: a run of an
 email's characters is tried once, at its start or where the last match ended
 (\G), and all repetitions are possessive, which changes no match since what
-follows them can't be matched by what they repeat.
+follows them can't be matched by what they repeat. Only a byte's leading zeros
+may be given back: the last one is the byte itself where it is 0.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ PATTERNS = {
 }
 #: What a text must have for any match that counts.
 HINTS = {"email": "contains(t, '@')", "ip": r"t rlike r'[0-9]\.[0-9]'", "card": "t rlike r'[0-9](?:[ -]?[0-9]){11}'", "phone": "contains(t, '+')"}
-BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 EMPTY = "cast(array() as array<struct<s:int,e:int,t:string>>)"
 LUHN = "aggregate(sequence(1, length(x.d)), 0, (a, i) -> a + case when i % 2 = 1 then int(substring(x.d, length(x.d) - i + 1, 1)) when int(substring(x.d, length(x.d) - i + 1, 1)) > 4 then 2 * int(substring(x.d, length(x.d) - i + 1, 1)) - 9 else 2 * int(substring(x.d, length(x.d) - i + 1, 1)) end) % 10 = 0"
 CHECKS = {

@@ -77,6 +77,13 @@ def test_base_spans_match_brute_force(spark, texts):
         assert [s for s in spans(r.pii.spans) if s[1] < 4] == [x[:4] for x in base(r.text)], r.text
 
 
+def test_zero_octets_are_addresses(spark):
+    texts = ["10.0.0.1", "127.0.0.1", "0.0.0.0", "at 1.2.3.000 and 00.010.0255.0", "0.0.0.256", "000256.0.0.0", "1.0.0", "0" * 4000 + ".0.0.0", *[".".join(map(str, p)) for p in [(0, 9, 10, 99), (100, 0, 199, 200), (249, 250, 255, 0), (260, 0, 0, 1)]]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in P.sanitise(df).collect():
+        assert [s for s in spans(r.pii.spans) if s[1] < 4] == [x[:4] for x in base(r.text)], r.text[:40]
+
+
 def test_whole_method_matches_brute_force(spark):
     rows = [(i, f"Note {i}: the agent Zorblax{'é' if i % 7 == 0 else ''} of unit {i} writes from kim@corp.example and likes text number{chr(97 + i % 26)}") for i in range(12)]
     rows += [(100 + i, f"plain words the agent number {i} and more of the same") for i in range(60)]
