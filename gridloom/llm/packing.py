@@ -11,9 +11,10 @@ Only the last sequence can be short.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,26 +28,35 @@ LENGTH = 2048
 END_ID = 1
 
 
-@lru_cache(maxsize=2)
-def encoder(name: str):
+@lru_cache(maxsize=4)
+def encoder(name: str, added: bool = False):
     """A function from a text to the list of its ids, those of the tokenizers file name.json.
 
-    Control strings inside a text are ordinary text. The same vocabulary's
-    ranks in name.tiktoken give the same ids several times faster; tests hold
-    the two against each other.
+    With added, the file's added tokens (control strings) have their own ids
+    inside a text, as by the tokenizer's default; without, they are ordinary
+    text. The same vocabulary's ranks in name.tiktoken give the same ids
+    several times faster; tests hold the two against each other.
     """
     import public_tokenizers
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(f"{name}.tiktoken"), "rb"))}
-    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    control = {}
+    if added:
+        with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as f:
+            for t in json.load(f)["added_tokens"]:
+                if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]:
+                    raise ValueError(f"{name}: the added token {t['content']} is not matched as it stands")
+                control[t["content"]] = t["id"]
+    made = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=control)
+    return partial(made.encode, allowed_special=set(control), disallowed_special=()) if control else made.encode_ordinary
 
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k", end_id: int = END_ID) -> DataFrame:
     """First pass: part, before (tokens earlier in the part), doc_id and ids (16-bit little-endian where they fit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode, part, before = encoder(tokenizer, added=True), TaskContext.get().partitionId(), 0
         for batch in batches:
             for piece in pieces(batch, "t"):
                 ids = [np.array([*encode(t or ""), end_id], np.uint32) for t in piece.column("t").to_pylist()]

@@ -26,6 +26,16 @@ def test_ids_on_awkward_texts(reference):
         assert P.encoder("byte_bpe_50k")(t) == reference.encode(t, add_special_tokens=False).ids
 
 
+def test_added_tokens_have_the_ids_of_the_tokenizers_default(spark):
+    default = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = ["plain", f"{end} a", f"a{end}{end} \n {end}", f"x  {end}  y", f"<|endof{end}text|>", "<|ENDOFTEXT|> <|endoftext", end, ""]
+    for t in texts:
+        assert P.encoder("byte_bpe_50k", added=True)(t) == default.encode(t, add_special_tokens=False).ids
+    packed = P.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in packed} == {i: [*default.encode(t, add_special_tokens=False).ids, P.END_ID] for i, t in enumerate(texts)}
+
+
 def test_pieces_rebuild_every_document(spark, reference):
     texts = ["", None, "a b c", "word " * 5000, "é" * 700, *[f"document number {i} " * (i % 40) for i in range(200)], "a b c"]
     rows = [(i if i else None, t, "x", 1) for i, t in enumerate(texts)]
