@@ -140,5 +140,14 @@ def annotate(df: DataFrame, text_col: str, out_col: str, fields: T.StructType, m
     return inner.mapInArrow(run, schema).toDF(*keep, out_col)
 
 
+def prior_shift(known: DataFrame, limit: int) -> float:
+    """Log-odds of label 1 among all rows of known (column label) minus those among at most limit rows of either label; 0 unless both labels occur."""
+    n = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
+    zeros, ones = n.get(0, 0), n.get(1, 0)
+    if not zeros or not ones:
+        return 0.0
+    return float(np.log(ones / zeros) - np.log(min(ones, limit) / min(zeros, limit)))
+
+
 def docs_of(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

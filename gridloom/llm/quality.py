@@ -6,7 +6,8 @@ its neighbours, up to WINDOW places away, over the whole corpus; tokens share
 2**BITS rows by hash. A text is the mean of its tokens' unit vectors and the
 spread around it. A network of two layers, fitted on at most SAMPLE labelled
 rows, gives a log-odds, which a temperature fitted on rows it has not seen
-calibrates.
+calibrates. Where the sample has other shares of the labels than all labelled
+rows, the difference of the log prior odds is added.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, annotate, buffer_of, docs_of, mixed, pieces, prefix_sums, span_hashes, table_of, texts_of
+from .common import SPACES, annotate, buffer_of, docs_of, mixed, pieces, prefix_sums, prior_shift, span_hashes, table_of, texts_of
 
 BITS, DIM, NONZERO, WINDOW = 14, 64, 4, 2
 #: Labelled rows used for fitting, at most.
@@ -114,9 +115,10 @@ def pooled(texts: list[bytes], table: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    """Standardised inputs, one hidden layer of rectifiers, a log-odds divided by a temperature."""
+    """Standardised inputs, one hidden layer of rectifiers, a log-odds divided by a temperature, moved by shift to the prior of all rows."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray):
+    def __init__(self, x: np.ndarray, y: np.ndarray, shift: float = 0.0):
+        self.shift = shift
         rng = np.random.default_rng(7)
         aside = np.arange(len(y)) % 5 == 4
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-4
@@ -153,7 +155,7 @@ class Network:
         return np.maximum(self.inputs(x) @ w + b, 0) @ u + c
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -35, 35)))
+        return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature + self.shift, -35, 35)))
 
 
 def train(docs: DataFrame, labels: DataFrame, table: np.ndarray, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: str | None = None, sample: int = SAMPLE) -> Network | None:
@@ -161,8 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, table: np.ndarray, id_col: str = "
 
     Ids or labels that are null or labels other than 0 and 1 are left out; of
     several labels of an id the highest counts, and of rows that repeat an id
-    one. Shares of the labels differ
-    from those of all rows only where a label has more than half the sample.
+    one. The sample's shares of the labels differ from those of all rows where
+    a label has more than half the sample; the network's shift makes up for it.
     """
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("id is not null and label in (0, 1)")
     if held_out:
@@ -186,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, table: np.ndarray, id_col: str = "
     x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float32).reshape(len(y), -1).astype(np.float64)
     order = np.lexsort((*np.round(x, 5).T[:4], y))
     order = order[np.random.default_rng(5).permutation(len(order))]
-    return Network(x[order], y[order])
+    return Network(x[order], y[order], prior_shift(known, sample // 2))
 
 
 def score_quality(docs: DataFrame, table: np.ndarray, network: Network | None, text_col: str = "text", out_col: str = "quality_score", keep: list[str] | None = None) -> DataFrame:

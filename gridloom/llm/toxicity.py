@@ -6,7 +6,9 @@ coordinates. FTRL-proximal gives every coordinate its own rate and an L1
 penalty. A first phase under a strong penalty selects coordinates, a second
 under a weak one sets their weights; the few that are not zero are broadcast.
 The model is fitted in one task on a bounded sample of labelled rows: of either
-label the first SAMPLE / 2 by a hash of their id.
+label the first SAMPLE / 2 by a hash of their id. Where that changes the labels'
+shares, the intercept is moved by the difference of the log prior odds, so that
+scores don't depend on how many rows are labelled.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, buffer_of, docs_of, mixed, pieces, prefix_sums, span_hashes, spans_of, table_of, texts_of
+from .common import annotate, buffer_of, docs_of, mixed, pieces, prefix_sums, prior_shift, span_hashes, spans_of, table_of, texts_of
 
 BITS = 20
 #: Bytes of a longer word that count as a word of their own kind, its stem.
@@ -99,8 +101,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Ids or labels that are null or labels other than 0 and 1 are left out; of
     several labels of an id the highest counts, and of rows that repeat an id
-    one, so that no id fills the sample. Without any labels the weights are
-    empty and every score is 0.5.
+    one, so that no id fills the sample. The intercept holds for the labels'
+    shares among all labelled rows. Without any labels the weights are empty
+    and every score is 0.5.
     """
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("id is not null and label in (0, 1)")
     if held_out:
@@ -123,8 +126,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     kind = rows.schema["id"].dataType.simpleString()
     each = rows.mapInArrow(extract, f"id {kind}, label int, x binary").groupBy("id", "label").agg(F.min("x").alias("x"))
-    found = each.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "x").mapInArrow(learn, "at long, w double").toArrow()
+    # Another hash than the sample's, whose first rows of either label reach differently far: in its order the last rows would all be of one label.
+    found = each.repartition(1).sortWithinPartitions(F.xxhash64(F.lit("order"), "id"), "id", "x").mapInArrow(learn, "at long, w double").toArrow()
     at, w = found.column("at").to_numpy(), found.column("w").to_numpy()
+    shift = prior_shift(known, sample // 2) if len(at) else 0.0
+    if shift:
+        plain = at < 1 << BITS
+        at, w = np.append(at[plain], 1 << BITS), np.append(w[plain], w[~plain].sum() + shift)
     order = np.argsort(at)
     return at[order], w[order]
 

@@ -46,3 +46,15 @@ def test_learns_and_defines_every_case(spark):
     assert Q.train(docs, known.limit(0), table) is None
     assert {r.quality_score.score for r in Q.score_quality(docs, table, None).collect()} == {0.5}
     assert Q.score_quality(docs.limit(0), table, net).collect() == []
+
+
+def test_scores_keep_the_prior_of_all_labels(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(str(w) for w in rng.choice(words, 20)) for _ in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(1500)], "doc_id long, quality int")
+    table = Q.word_vectors(docs)
+    few, every = (np.array([r.q.score for r in Q.score_quality(docs, table, Q.train(docs, known, table, sample=n), out_col="q").collect()]) for n in (250, 8000))
+    # The texts tell nothing of the label, so scores are near its share, 0.9, whatever the sample.
+    assert abs(np.median(few) - 0.9) < 0.06 and abs(np.median(every) - 0.9) < 0.06

@@ -47,3 +47,12 @@ def test_learns_and_defines_every_case(spark):
     none = X.train(docs, known.limit(0))
     assert {r.toxicity.score for r in X.score_toxicity(docs, none).collect()} == {0.5}
     assert X.score_toxicity(docs.limit(0), none).collect() == []
+
+
+def test_scores_keep_the_prior_of_all_labels(spark):
+    texts = ["word"] * 1500
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(1500)], "doc_id long, toxic int")
+    few, every = (np.array([r.toxicity.score for r in X.score_toxicity(docs, X.train(docs, known, sample=n)).collect()]) for n in (200, 8000))
+    # The texts tell nothing of the label, so scores are its share, 0.1, whatever the sample.
+    assert abs(np.median(few) - 0.1) < 0.05 and abs(np.median(every) - 0.1) < 0.05
