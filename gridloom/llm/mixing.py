@@ -5,18 +5,20 @@ bits. The first tells whether it is in the dictionary, the most frequent words
 of the training texts; if so, the bits of its Shannon-Fano-Elias code follow,
 in an order that keeps words of like surroundings together; if not, the Huffman
 codes of its bytes and a space. Hashed contexts predict each bit: for the dictionary the place in
-the code, alone and with the surroundings (the last accented letter's byte, the
-kind of the last word's last byte, or both); for spelled words the last one to
-four bytes, partly with the surroundings. A context's count
+the code, alone, with the surroundings (the last accented letter's byte, the
+kind of the last word's last byte, or both) and with the previous word or two;
+for spelled words the last one to four bytes and the word so far, partly with
+the surroundings. A context's count
 of zeros and ones gives a log-odds; the log-odds are added under weights that a
 gate chooses by how much two of the contexts have seen, and adaptive maps
 refine the sum. The probabilities of all bits multiply to the text's.
 
-Counts come from all training texts: (word, surroundings) pairs are counted by
-shuffle, each pair updates the contexts' tables once with its count, and the
-tables, of fixed size, are broadcast. Weights and maps are learned online over
-the same pairs, each seen with one occurrence of it left out of the counts.
-Scores of pairs are computed once for many texts.
+Counts come from all training texts: each task counts (word, surroundings,
+previous words) within groups of tokens, each of these pairs updates the
+contexts' tables once with its count, and the tables, of fixed size, are
+broadcast. Weights and maps are learned online over the same pairs, each seen
+with one occurrence of it left out of the counts. Scores of pairs are computed
+once for the texts of a group.
 
 The base score needs the exact count of every word: words of the dictionary
 are broadcast, which bounds its size; all others are joined.
@@ -37,23 +39,24 @@ from pyspark.sql import functions as F
 from .common import SPACES, buffer_of, docs_of, mixed, pieces, prefix_sums, span_hashes, spans_of, staged, table_of, texts_of
 
 BLANK = table_of(lambda b: b in SPACES)
-#: Bits of the contexts' tables: four for the dictionary's codes, four for spelled words.
-TABLES = (21, 21, 20, 21, 18, 20, 20, 21)
+#: Bits of the contexts' tables: six for the dictionary's codes, six for spelled words.
+TABLES = (21, 21, 20, 21, 22, 22, 18, 20, 20, 21, 20, 20)
 BASES = np.concatenate([[0], np.cumsum([1 << b for b in TABLES])])
 SLOTS = int(BASES[-1])
 #: The contexts of either kind of bit.
-CODE, SPELL = (0, 1, 2, 3), (4, 5, 6, 7)
+CODE, SPELL = (0, 1, 2, 3, 4, 5), (6, 7, 8, 9, 10, 11)
+CONTEXTS = len(CODE)
 BLOCK = 1 << 14
 ACCENTS, KINDS, RECENT = 18, 9, 12
 CLASSES = ACCENTS * KINDS
 GATES = 30
 LEVELS = 32
 #: Tokens that are gathered before their pairs are scored, and pairs a step.
-TOKENS, PAIRS = 3_000_000, 20_000
+TOKENS, PAIRS = 1_000_000, 20_000
 #: Bytes of text that are cut into words at once.
 PIECE = 1 << 20
 #: Pairs between two changes of the weights.
-STEP = 5000
+STEP = 2500
 #: Words of the dictionary, at most.
 FREQUENT = 1 << 20
 #: Least count of a word of the dictionary; what is rarer teaches how words are spelled.
@@ -81,6 +84,7 @@ class Words:
         self.doc = np.concatenate([doc, np.arange(len(texts))]).astype(np.int32)
         self.word = np.concatenate([word + 1, np.zeros(len(texts), np.int64)]).astype(np.int32)
         self.cls = self.surroundings(buf, starts, ends, doc, counts).astype(np.int32)
+        self.before = self.previous(h, counts)
         self.n_tokens = counts + 1
         self.n_bytes = np.bincount(doc, ends - starts + 1, len(texts)).astype(np.int64) + 1
 
@@ -107,6 +111,17 @@ class Words:
         return a * KINDS + np.where(after > begin, kind[after], KINDS - 1)
 
 
+    @staticmethod
+    def previous(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """For every word, then every text's end: hashes of the one and of the two words before it, in 32 bits."""
+        n, tail = len(h), np.cumsum(counts)
+        after = np.concatenate([np.arange(n), tail])
+        begin = np.concatenate([np.repeat(tail - counts, counts), tail - counts])
+        padded = np.concatenate([np.zeros(2, np.uint64), h])
+        one, two = (np.where(after - k >= begin, padded[after + 2 - k], np.uint64(k)) for k in (1, 2))
+        return np.stack([_fold(one) >> np.uint64(32), _fold(one, two) >> np.uint64(32)]).astype(np.uint32).view(np.int32)
+
+
 def merged(parts: list[Words]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """Distinct words of several parts: hashes, sizes, bytes, and for each part the numbers of its words; 0 is the end."""
     hashes, first, back = np.unique(np.concatenate([p.hashes for p in parts]), return_index=True, return_inverse=True)
@@ -130,6 +145,13 @@ def pair_keys(parts: list[Words], numbers: list[np.ndarray], words: int) -> np.n
     return out
 
 
+def grouped(parts: list[Words], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (key, previous words) of the parts' tokens: their keys, previous words, each token's place among them, and their counts."""
+    before = np.concatenate([p.before for p in parts], axis=1)
+    _, first, back, n = np.unique(_fold(keys, before[0].view(np.uint32), before[1].view(np.uint32)), return_index=True, return_inverse=True, return_counts=True)
+    return keys[first].astype(np.int64), before[:, first], back.astype(np.int32), n
+
+
 class Dictionary:
     """Codes of the most frequent words by their hashes; the end's code stands apart."""
 
@@ -180,8 +202,8 @@ def _fold(*parts: np.ndarray | int) -> np.ndarray:
     return h
 
 
-def steps(letters: tuple[np.ndarray, np.ndarray], size: np.ndarray, data: np.ndarray, length: np.ndarray, code: np.ndarray, word: np.ndarray, cls: np.ndarray) -> Iterator[tuple[np.ndarray, tuple[int, ...], list[np.ndarray], np.ndarray]]:
-    """The bits of some (word, surroundings) pairs, many at once: pair, contexts' numbers, slot in each context's table, bit. Word 0 is the end."""
+def steps(letters: tuple[np.ndarray, np.ndarray], size: np.ndarray, data: np.ndarray, length: np.ndarray, code: np.ndarray, word: np.ndarray, cls: np.ndarray, before: np.ndarray) -> Iterator[tuple[np.ndarray, tuple[int, ...], list[np.ndarray], np.ndarray]]:
+    """The bits of some (word, surroundings, previous words) pairs, many at once: pair, contexts' numbers, slot in each context's table, bit. Word 0 is the end."""
     place = lambda k, h: ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLES[k])).astype(np.int64) + int(BASES[k])
     coded = length[word] > 0
     # Place 0 is the flag, place 1 + i the code's bit i.
@@ -193,7 +215,7 @@ def steps(letters: tuple[np.ndarray, np.ndarray], size: np.ndarray, data: np.nda
     bit = np.where(i == 0, coded[pair], (own >> np.maximum(wide - i, 0)) & 1).astype(np.int64)
     a, s = cls[pair] // KINDS, cls[pair] % KINDS
     node = _fold(node)
-    yield pair, CODE, [place(0, node), place(1, _fold(node, 1 + a)), place(2, _fold(node, 101 + s)), place(3, _fold(node, 201 + cls[pair]))], bit
+    yield pair, CODE, [place(0, node), place(1, _fold(node, 1 + a)), place(2, _fold(node, 101 + s)), place(3, _fold(node, 201 + cls[pair])), *[place(4 + k, _fold(node, 301 + k, before[k].view(np.uint32)[pair])) for k in (0, 1)]], bit
     which = np.flatnonzero(~coded)
     if not len(which):
         return
@@ -214,7 +236,8 @@ def steps(letters: tuple[np.ndarray, np.ndarray], size: np.ndarray, data: np.nda
     begin = at - i
     a, s = cls[pair] // KINDS, cls[pair] % KINDS
     order = [span_hashes(sums, np.maximum(begin, at - k), at) + (i >= k).astype(np.uint64) for k in (1, 2, 3, 4)]
-    contexts = [_fold(order[0], 1 + a), _fold(order[1], 101 + cls[pair]), _fold(order[2], 301 + s), _fold(order[3], 401)]
+    prefix = span_hashes(sums, begin, at)
+    contexts = [_fold(order[0], 1 + a), _fold(order[1], 101 + cls[pair]), _fold(order[2], 301 + s), _fold(order[3], 401), _fold(prefix, 501 + a), _fold(prefix, 601 + cls[pair])]
     wide, own = letters[0][byte], letters[1][byte]
     for b in range(int(wide.max())):
         on = np.flatnonzero(wide > b)
@@ -225,16 +248,18 @@ def steps(letters: tuple[np.ndarray, np.ndarray], size: np.ndarray, data: np.nda
 
 
 def _pairs(keyed: DataFrame) -> DataFrame:
-    """(word, cls, n) of the training texts, counted within groups of tokens."""
+    """(word, cls, one, two, n) of the training texts, counted within groups of tokens: one and two are hashes of the previous words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts, _ in _groups(batches):
             _, size, data, numbers = merged(parts)
             keys = pair_keys(parts, numbers, len(size))
-            keys, n = np.unique(keys, return_counts=True)
-            yield _rows(size, data, keys // CLASSES, [pa.array((keys % CLASSES).astype(np.int32)), pa.array(n)], ["cls", "n"])
+            keys, before, _, n = grouped(parts, keys)
+            for at in range(0, len(keys), PAIRS):
+                own = slice(at, at + PAIRS)
+                yield _rows(size, data, keys[own] // CLASSES, [pa.array((keys[own] % CLASSES).astype(np.int32)), *map(pa.array, before[:, own]), pa.array(n[own])], ["cls", "one", "two", "n"])
 
-    return keyed.mapInArrow(run, "word binary, cls int, n long").groupBy("word", "cls").agg(F.sum("n").alias("n"))
+    return keyed.mapInArrow(run, "word binary, cls int, one int, two int, n long")
 
 
 def _rows(size: np.ndarray, data: np.ndarray, word: np.ndarray, more: list[pa.Array], names: list[str]) -> pa.RecordBatch:
@@ -264,7 +289,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[Words], li
 
 
 def _unpacked(batch: pa.RecordBatch, dictionary: Dictionary) -> tuple[np.ndarray, ...]:
-    """Size and bytes of the words of a batch of pairs, word numbers (0 for the end), surroundings, counts, and each word's code length and code."""
+    """Size and bytes of the words of a batch of pairs, word numbers (0 for the end), surroundings, previous words, counts, and each word's code length and code."""
     words = batch.column("word").to_pylist()
     end = np.array([w == END for w in words])
     own = [w for w in words if w != END]
@@ -272,7 +297,7 @@ def _unpacked(batch: pa.RecordBatch, dictionary: Dictionary) -> tuple[np.ndarray
     word = np.where(end, 0, np.cumsum(~end))
     data = np.frombuffer(b"".join(own), np.uint8)
     _, length, code = dictionary.find(_hashed(own))
-    return size, data, word, batch.column("cls").to_numpy().astype(np.int64), batch.column("n").to_numpy(), length, code
+    return size, data, word, batch.column("cls").to_numpy().astype(np.int64), np.stack([batch.column(k).to_numpy() for k in ("one", "two")]), batch.column("n").to_numpy(), length, code
 
 
 def _hashed(words: list[bytes]) -> np.ndarray:
@@ -288,8 +313,8 @@ def _counted(shared):
         flat = counts.reshape(-1)
         for batch in batches:
             for at in range(0, batch.num_rows, PAIRS):
-                size, data, word, cls, n, length, code = _unpacked(batch.slice(at, PAIRS), shared.value)
-                for pair, _, slots, bit in steps(shared.value.letters, size, data, length, code, word, cls):
+                size, data, word, cls, before, n, length, code = _unpacked(batch.slice(at, PAIRS), shared.value)
+                for pair, _, slots, bit in steps(shared.value.letters, size, data, length, code, word, cls, before):
                     weight = n[pair].astype(np.float32)
                     for s in slots:
                         np.add.at(flat, 2 * s + bit, weight)
@@ -344,7 +369,7 @@ def gate(contexts: tuple[int, ...], rich: np.ndarray, other: np.ndarray) -> np.n
 
 def deciding(contexts: tuple[int, ...]) -> tuple[int, int]:
     """The places of the two contexts that choose the gate."""
-    return (3, 0) if contexts == CODE else (3, 1)
+    return (5, 4) if contexts == CODE else (4, 1)
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -356,8 +381,8 @@ def level(x: np.ndarray) -> np.ndarray:
 
 
 def start_weights() -> np.ndarray:
-    w = np.full((GATES, 4), 0.25)
-    w[: GATES // 2, :4] = (0.5, 0.3, 0.35, 0.3)
+    w = np.full((GATES, CONTEXTS), 0.2)
+    w[: GATES // 2] = (0.35, 0.2, 0.25, 0.2, 0.35, 0.35)
     return w
 
 
@@ -367,12 +392,12 @@ def _learned(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, dictionary = shared.value
         packed = counts.view("<u4").ravel()
-        w, speed, mass = start_weights(), np.full((GATES, 4), 1e-3), np.zeros(GATES)
+        w, speed, mass = start_weights(), np.full((GATES, CONTEXTS), 1e-3), np.zeros(GATES)
         maps = np.zeros((GATES * LEVELS, 2))
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
-                size, data, word, cls, n, length, code = _unpacked(batch.slice(at, STEP), dictionary)
-                for pair, contexts, slots, one in steps(dictionary.letters, size, data, length, code, word, cls):
+                size, data, word, cls, before, n, length, code = _unpacked(batch.slice(at, STEP), dictionary)
+                for pair, contexts, slots, one in steps(dictionary.letters, size, data, length, code, word, cls, before):
                     weight = n[pair].astype(np.float64)
                     x, seen, is_one = [], {}, one == 1
                     for k, slot in enumerate(slots):
@@ -418,8 +443,8 @@ class Model:
         middle = squash((np.arange(LEVELS) + 0.5) * 16 / LEVELS - 8)
         self.maps = ((maps[:, 1] + 20 * np.tile(middle, GATES)) / (maps.sum(axis=1) + 20)).astype(np.float64)
 
-    def told(self, size: np.ndarray, data: np.ndarray, length: np.ndarray, code: np.ndarray, word: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        """Log10 probability of each (word, surroundings) pair."""
+    def told(self, size: np.ndarray, data: np.ndarray, length: np.ndarray, code: np.ndarray, word: np.ndarray, cls: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Log10 probability of each (word, surroundings, previous words) pair."""
         out = np.zeros(len(word))
         scaled = (self.weights.T / ODDS).astype(np.float32)
         for at in range(0, len(word), PAIRS):
@@ -429,7 +454,7 @@ class Model:
             start = np.cumsum(n) - n
             few = n[used[1:]]
             text = data[np.arange(few.sum()) - np.repeat(np.cumsum(few) - few - start[used[1:]], few)]
-            for pair, contexts, slots, one in steps(self.dictionary.letters, few, text, length[used], code[used], words[1:], cls[own]):
+            for pair, contexts, slots, one in steps(self.dictionary.letters, few, text, length[used], code[used], words[1:], cls[own], before[:, own]):
                 g = gate(contexts, *[self.seen[slots[k]] for k in deciding(contexts)])
                 total = np.zeros(len(one), np.float32)
                 for k, slot in enumerate(slots):
@@ -444,7 +469,8 @@ def train(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT) ->
     """The model of all texts given; the staged (word, n) counts of the words that its dictionary lacks; the numbers of tokens and of distinct tokens."""
     sc = docs.sparkSession.sparkContext
     pairs = staged(_pairs(docs.select(F.col(f"`{text_col}`").alias("t"))), "pairs")
-    words = staged(pairs.groupBy("word").agg(F.sum("n").alias("n"), F.max_by(F.floor(F.col("cls") / KINDS), "n").alias("near")), "words")
+    near = pairs.groupBy("word", F.floor(F.col("cls") / KINDS).alias("near")).agg(F.sum("n").alias("n"))
+    words = staged(near.groupBy("word").agg(F.sum("n").alias("n"), F.max_by("near", F.struct("n", "near")).alias("near")), "words")
     ends, total, distinct = words.agg(F.sum(F.when(F.col("word") == F.lit(END), F.col("n"))), F.sum("n"), F.count("*")).first()
     plain = words.where(F.col("word") != F.lit(END))
     least = _least(plain, frequent)
@@ -459,7 +485,7 @@ def train(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT) ->
     mass = get("mass", GATES)
     share = mass / np.maximum(mass.sum(axis=0), 1)
     known = mass.sum(axis=0) > 0
-    weights = np.where(known[:, None], (get("w", GATES, 4) * share[:, :, None]).sum(axis=0), start_weights())
+    weights = np.where(known[:, None], (get("w", GATES, CONTEXTS) * share[:, :, None]).sum(axis=0), start_weights())
     model = Model(counts, weights, get("maps", GATES * LEVELS, 2).sum(axis=0), dictionary)
     shared.unpersist()
     return model, plain.where(F.col("n") < least).select("word", "n"), (total or 0, distinct)
@@ -507,9 +533,8 @@ def score_texts(docs: DataFrame, model: Model, rest: DataFrame, trained: tuple[i
             hashes, size, data, numbers = merged(parts)
             count, length, code = model.dictionary.find(hashes)
             rare = length == 0
-            keys, back = np.unique(pair_keys(parts, numbers, len(size)), return_inverse=True)
-            back = back.astype(np.int32)
-            told = model.told(size, data, length, code, keys // CLASSES, keys % CLASSES)
+            keys, before, back, _ = grouped(parts, pair_keys(parts, numbers, len(size)))
+            told = model.told(size, data, length, code, keys // CLASSES, keys % CLASSES, before)
             at = 0
             for p, m, own in zip(parts, numbers, rows, strict=True):
                 n = own.num_rows
