@@ -1,12 +1,14 @@
 r"""Personal data by patterns and information-theoretic sanitisation, in DataFrame and SQL functions only.
 
 Patterns find the protected entities: emails, addresses, cards and phones. The
-words around them (CONTEXT code points on either side) are terms. A term t
-tells of an entity e by PMI(t, e) = log(n(t, e) N / (n(t) n(e))), where the n
-count documents of the whole corpus; the entity itself tells IC(e) = log(N /
-n(e)), the most that any term can. A term that stands with e in at least
-SUPPORT different contexts and tells at least DISCLOSURE of IC(e) gives e away
-and is removed where it stands near e. Entities are generalised to their kind.
+words of their documents are terms. A term t tells of an entity e by PMI(t, e)
+= log(n(t, e) N / (n(t) n(e))), where the n count documents of the whole
+corpus; the entity itself tells IC(e) = log(N / n(e)), the most that any term
+can. A term that tells at least DISCLOSURE of IC(e), and whose co-occurrence
+with e chance doesn't explain (log-likelihood ratio of SIGNIFICANT or more),
+gives e away and is removed everywhere in e's documents. Entities are
+generalised to their kind. On demand only words within context code points of
+an entity are terms, and support different contexts take the place of the test.
 
 The patterns are written so that a search takes linear time: a run of an
 email's characters is tried once, at its start or where the last match ended
@@ -17,14 +19,15 @@ may be given back: the last one is the byte itself where it is 0.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import docs_of, staged
 
-CONTEXT, SUPPORT, DISCLOSURE = 100, 3, 0.8
-#: Terms whose counts a broadcast join may collect; beyond, all terms are counted first and joined by shuffle.
-BROADCAST_TERMS = 200_000
+DISCLOSURE = 0.8
+#: Least log-likelihood ratio of a term and an entity: one in a thousand by chance.
+SIGNIFICANT = 10.83
+WORD = r"\p{L}++"
 KINDS = ("email", "ip", "card", "phone", "term")
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -63,41 +66,62 @@ def base_spans(kind: str) -> Column:
     return F.expr(f"transform({valued}, x -> named_struct('s', x.s, 'k', {KINDS.index(kind)}, 'e', x.e, 'v', x.d))")
 
 
-def _disclosing(marked: DataFrame, total: int, context: int, support: int, disclosure: float) -> DataFrame:
-    """Places (id, th, s, e) of the terms that give an entity near them away."""
+def _near(marked: DataFrame, context: int) -> DataFrame:
+    """(id, th, entity, term, context) of the words within context code points of an entity; words that the edges cut are left out."""
     spans = marked.where(F.size("spans") > 0).select("id", "th", "t", F.explode("spans").alias("sp"))
     around = spans.select("id", "th", F.concat_ws(":", F.col("sp.k"), F.col("sp.v")).alias("entity"), F.col("sp.s").alias("s"), F.col("sp.e").alias("e"), F.expr(f"substring(t, greatest(sp.s - {context}, 0) + 1, least({context}, sp.s))").alias("left"), F.expr(f"substring(t, sp.e + 1, {context})").alias("right"), F.expr("length(t)").alias("n"))
-    words = r"\p{L}++"
-    # Words that the context's edges cut are left out.
-    before = f"transform(filter({located('left', words)}, w -> w.s > 0 or s <= {context}), w -> named_struct('s', w.s + greatest(s - {context}, 0), 'e', w.e + greatest(s - {context}, 0), 't', lower(w.t)))"
-    after = f"transform(filter({located('right', words)}, w -> w.e < {context} or e + {context} >= n), w -> named_struct('s', w.s + e, 'e', w.e + e, 't', lower(w.t)))"
-    terms = staged(around.select("id", "th", "entity", F.xxhash64("left", "right").alias("context"), F.expr(f"explode(concat({before}, {after}))").alias("w")).select("id", "th", "entity", "context", F.col("w.s").alias("s"), F.col("w.e").alias("e"), F.col("w.t").alias("term")), "terms")
-    key = F.struct("id", "th")
-    pairs = terms.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct(key).alias("both")).where(F.col("contexts") >= support)
-    pairs = staged(pairs, "pairs")
-    wanted = pairs.select("term").distinct()
-    count = wanted.count()
-    if count:
-        every = marked.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(words), F.lit(0)))).alias("term"))
-        if count <= BROADCAST_TERMS:
-            counted = every.join(F.broadcast(wanted), "term").groupBy("term").agg(F.count("*").alias("n_term"))
-        else:
-            counted = every.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")
-        entities = terms.join(pairs.select("entity").distinct(), "entity", "left_semi").groupBy("entity").agg(F.count_distinct(key).alias("n_entity"))
-        whole = F.lit(float(total))
-        told = F.log(F.col("both") * whole / (F.col("n_term") * F.col("n_entity")))
-        own = F.log(whole / F.col("n_entity"))
-        pairs = pairs.join(counted, "term").join(entities, "entity").where((own > 0) & (told >= disclosure * own))
-    return terms.join(pairs.select("entity", "term"), ["entity", "term"], "left_semi").select("id", "th", "s", "e").distinct()
-
-
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "pii", keep: list[str] | None = None, context: int = CONTEXT, support: int = SUPPORT, disclosure: float = DISCLOSURE, rewrite: bool = True) -> DataFrame:
+    before = f"transform(filter({located('left', WORD)}, w -> w.s > 0 or s <= {context}), w -> lower(w.t))"
+    after = f"transform(filter({located('right', WORD)}, w -> w.e < {context} or e + {context} >= n), w -> lower(w.t))"
+    return around.select("id", "th", "entity", F.xxhash64("left", "right").alias("context"), F.expr(f"explode(array_distinct(concat({before}, {after})))").alias("term"))
+
+
+def _ratio(both: Column, term: Column, entity: Column, whole: Column) -> Column:
+    """The log-likelihood ratio of the fourfold table of two counts, their common count and the count of all."""
+    cells = [(both, term * entity), (term - both, term * (whole - entity)), (entity - both, entity * (whole - term)), (whole - term - entity + both, (whole - term) * (whole - entity))]
+    parts = [F.when((seen > 0) & (of > 0), seen * F.log(seen * whole / of)).otherwise(0.0) for seen, of in cells]
+    return 2 * (parts[0] + parts[1] + parts[2] + parts[3])
+
+
+def _disclosing(marked: DataFrame, total: int, context: int | None, support: int | None, disclosure: float) -> DataFrame:
+    """Places (id, th, s, e) of the terms that give an entity of their document away."""
+    some = staged(marked.where(F.size("spans") > 0), "some")
+    whole = F.lit(float(total))
+    entity = "array_distinct(transform(spans, x -> concat_ws(':', x.k, x.v)))"
+    owned = staged(some.select("id", "th", F.expr(entity).alias("own")).dropDuplicates(["id", "th"]), "owned")
+    entities = staged(owned.select(F.explode("own").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")), "entities")
+    counted = marked.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(WORD), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    # No term of more documents can tell enough, even if it stands with the entity in all of the entity's.
+    most = whole ** (1 - disclosure) * F.col("n_entity").cast("double") ** disclosure * (1 + 1e-9)
+    top = entities.agg(F.max(most)).first()[0] or 0.0
+    few = counted.where(F.col("n_term") <= top)
+    if context is None:
+        words = some.dropDuplicates(["id", "th"]).select("id", "th", F.expr(entity).alias("own"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(WORD), F.lit(0)))).alias("term"))
+        pairs = words.join(few, "term").select("id", "th", "term", "n_term", F.explode("own").alias("entity"), F.lit(0).alias("context"))
+    else:
+        pairs = _near(marked, context).join(few, "term")
+    pairs = staged(pairs.join(entities, "entity").where(F.col("n_term") <= most), "pairs")
+    found = pairs.groupBy("entity", "term", "n_term", "n_entity").agg(F.count_distinct("context").alias("contexts"), F.count_distinct(F.struct("id", "th")).alias("both"))
+    told = F.log(F.col("both") * whole / (F.col("n_term") * F.col("n_entity")))
+    own = F.log(whole / F.col("n_entity"))
+    enough = _ratio(*[F.col(c).cast("double") for c in ("both", "n_term", "n_entity")], whole) >= SIGNIFICANT if support is None else F.col("contexts") >= support
+    found = found.where((own > 0) & (told >= disclosure * own) & enough)
+    terms = pairs.join(found.select("entity", "term"), ["entity", "term"], "left_semi").groupBy(F.col("id").alias("gi"), F.col("th").alias("gt")).agg(F.collect_set("term").alias("gone"))
+    texts = some.dropDuplicates(["id", "th"]).join(terms, F.col("id").eqNullSafe(F.col("gi")) & (F.col("th") == F.col("gt")))
+    # What lies between the words gives their places; only lengths are shuffled.
+    parts = texts.select("id", "th", "gone", F.posexplode(F.expr(f"zip_with(split(t, r'{WORD}', -1), regexp_extract_all(t, r'{WORD}', 0), (g, m) -> named_struct('g', length(g), 'm', m))")).alias("i", "x"))
+    sizes = parts.select("id", "th", "i", F.col("x.g").alias("g"), F.coalesce(F.length("x.m"), F.lit(0)).alias("n"), F.expr("array_contains(gone, lower(x.m))").alias("hit"))
+    placed = sizes.withColumn("e", F.sum(F.col("g") + F.col("n")).over(Window.partitionBy("id", "th").orderBy("i")).cast("int")).where("hit")
+    return placed.select("id", "th", (F.col("e") - F.col("n")).alias("s"), "e")
+
+
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "pii", keep: list[str] | None = None, context: int | None = None, support: int | None = None, disclosure: float = DISCLOSURE, rewrite: bool = True) -> DataFrame:
     """Adds out_col: spans (kind, start, end, in code points, by start and then kind), and text with every span replaced by its kind in brackets.
 
     A null text stays null and has no spans; rows of the same id and text
     share their spans; overlapping spans are replaced once, under the first
     one's kind; an empty table gives an empty result; other columns pass
-    through. Without rewrite the text is left out.
+    through. Terms inside an entity are not spans of their own. Without rewrite
+    the text is left out.
     """
     keep = docs.columns if keep is None else keep
     if out_col in keep:
@@ -111,7 +135,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ou
     plain = marked.withColumn("spans", F.expr("transform(spans, x -> named_struct('s', x.s, 'k', x.k, 'e', x.e))"))
     if not rewrite:
         plain = plain.drop("t")
-    joined = plain.join(more, plain.id.eqNullSafe(more.mi) & (plain.th == more.mt), "left").withColumn("spans", F.expr("array_sort(concat(spans, coalesce(more, cast(array() as array<struct<s:int,k:int,e:int>>))))")).drop("id", "mi", "mt", "more")
+    joined = plain.join(more, plain.id.eqNullSafe(more.mi) & (plain.th == more.mt), "left").withColumn("spans", F.expr("array_sort(concat(spans, filter(coalesce(more, cast(array() as array<struct<s:int,k:int,e:int>>)), x -> not exists(spans, y -> y.s < x.e and x.s < y.e))))")).drop("id", "mi", "mt", "more")
     kinds = f"array({', '.join(repr(k) for k in KINDS)})"
     made = [F.expr(f"transform(spans, x -> named_struct('kind', element_at({kinds}, x.k + 1), 'start', x.s, 'end', x.e))").alias("spans")]
     if rewrite:

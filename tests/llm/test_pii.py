@@ -108,3 +108,13 @@ def test_whole_method_matches_brute_force(spark):
     assert P.sanitise(df.limit(0)).collect() == []
     with pytest.raises(ValueError):
         P.sanitise(df, out_col="s")
+
+
+def test_terms_of_rare_entities_go_everywhere_in_their_documents(spark):
+    far = "plain words and more of the same " * 10
+    rows = [(i, f"plain words and more of the same, the agent is number {i}") for i in range(900)]
+    rows += [(1000, f"Zorblax {far} writes from kim@corp.example and more {far} of zorblax."), (1001, f"Quux {far} 10.0.0.1"), (1002, f"10.0.0.1 {far} quux"), (1003, "the agent quux is of more words"), (None, f"snark {far} snark@a.example")]
+    got = {r.doc_id: r for r in P.sanitise(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    gone = {i: sorted(r.text[s.start : s.end].lower() for s in r.pii.spans if s.kind == "term") for i, r in got.items()}
+    assert gone == {**dict.fromkeys(range(900), []), 1000: ["from", "writes", "zorblax", "zorblax"], 1001: ["quux"], 1002: ["quux"], 1003: [], None: ["snark"]}
+    assert "orblax" not in got[1000].pii.text and got[1003].pii.text == got[1003].text
