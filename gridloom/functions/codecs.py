@@ -86,9 +86,97 @@ def _snappy(**_):
     return lambda b: codec.compress(b, asbytes=True), lambda b: codec.decompress(b, length(b), asbytes=True)
 
 
+def _raw_zstd(level: int):
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=level).compress, lambda b, n: zstandard.ZstdDecompressor().decompress(b, n)
+
+
+def _raw_arrow(name: str):
+    codec = pa.Codec(name)
+    return lambda b: codec.compress(b, asbytes=True), lambda b, n: codec.decompress(b, n, asbytes=True)
+
+
+#: Fixed values of the Blosc frame: flags, and the numbers of the compressions inside.
+BYTE_SHUFFLE, STORED, BIT_SHUFFLE, WHOLE_BLOCKS = 1, 2, 4, 16
+INSIDE = {"lz4": 1, "lz4hc": 1, "snappy": 2, "zlib": 3, "zstd": 4}
+MOST_SPLITS, LEAST_SPLIT = 16, 128
+
+
+def _inside(number: int, level: int = 5):
+    """(compress, decompress to n bytes) of a Blosc frame's blocks."""
+    if number == 1:
+        return _raw_arrow("lz4_raw")
+    if number == 2:
+        return _raw_arrow("snappy")
+    if number == 3:
+        return lambda b: zlib.compress(b, level), lambda b, n: zlib.decompress(b, bufsize=n)
+    if number == 4:
+        return _raw_zstd(level)
+    raise ValueError("blosc chunks packed by blosclz can't be decoded here")
+
+
+def _shuffled(block: bytes, width: int, bits: bool, back: bool) -> bytes:
+    """The bytes (or bits) of all elements side by side by their place in the element; back undoes it. What fills no element, or no eight, stays."""
+    n = len(block) // width
+    n -= n % 8 if bits else 0
+    a, rest = np.frombuffer(block, np.uint8, n * width), block[n * width :]
+    if not bits:
+        out = (a.reshape(width, n) if back else a.reshape(n, width)).T
+    elif back:
+        planes = np.unpackbits(a.reshape(8 * width, n // 8), axis=1, bitorder="little")
+        out = np.packbits(planes.T.reshape(n, width, 8), axis=2, bitorder="little")
+    else:
+        planes = np.unpackbits(a.reshape(n, width, 1), axis=2, bitorder="little").reshape(n, 8 * width)
+        out = np.packbits(planes.T, axis=1, bitorder="little")
+    return np.ascontiguousarray(out).tobytes() + rest
+
+
+def _unblosc(b: bytes) -> bytes:
+    flags, width = b[2], b[3]
+    whole, size = int.from_bytes(b[4:8], "little"), int.from_bytes(b[8:12], "little")
+    if flags & STORED:
+        return b[16 : 16 + whole]
+    unpack, out = _inside(flags >> 5)[1], []
+    for k in range(-(-whole // size)):
+        at, long = int.from_bytes(b[16 + 4 * k : 20 + 4 * k], "little"), min(size, whole - k * size)
+        parted = not flags & WHOLE_BLOCKS and width <= MOST_SPLITS and size // width >= LEAST_SPLIT and long == size
+        parts = width if parted else 1
+        block = b""
+        for _ in range(parts):
+            n = int.from_bytes(b[at : at + 4], "little")
+            part = b[at + 4 : at + 4 + n]
+            block += part if n == long // parts else unpack(part, long // parts)
+            at += 4 + n
+        if width > 1 and flags & (BYTE_SHUFFLE | BIT_SHUFFLE):
+            block = _shuffled(block, width, bool(flags & BIT_SHUFFLE), True)
+        out.append(block)
+    return b"".join(out)
+
+
 @register("blosc")
-def _blosc(**_):
-    raise ValueError("blosc chunks can't be decoded here; only their headers are read")
+def _blosc(cname: str = "lz4", clevel: int = 5, shuffle: int | str = 1, blocksize: int = 0, typesize: int = 1, **_):
+    """Frames of the first version of the format; any inner compression but blosclz."""
+    kind = shuffle if isinstance(shuffle, int) else ("noshuffle", "shuffle", "bitshuffle").index(shuffle)
+    number = INSIDE.get(cname, 0)
+
+    def encode(b: bytes) -> bytes:
+        flags = WHOLE_BLOCKS | number << 5 | (0, BYTE_SHUFFLE, BIT_SHUFFLE)[kind]
+        size = min(blocksize or 1 << 18, max(1, len(b)))
+        head = lambda flags, total: bytes([2, 1, flags, typesize]) + b"".join(x.to_bytes(4, "little") for x in (len(b), size, total))
+        pack, blocks = _inside(number, clevel)[0], []
+        for at in range(0, len(b), size):
+            block = b[at : at + size]
+            block = _shuffled(block, typesize, kind == 2, False) if kind and typesize > 1 else block
+            packed = pack(block)
+            packed = packed if len(packed) < len(block) else block
+            blocks.append(len(packed).to_bytes(4, "little") + packed)
+        starts = np.cumsum([16 + 4 * len(blocks), *[len(x) for x in blocks]])
+        if not blocks or starts[-1] >= 16 + len(b):
+            return head(flags | STORED, 16 + len(b)) + b
+        return head(flags, int(starts[-1])) + starts[:-1].astype("<u4").tobytes() + b"".join(blocks)
+
+    return encode, _unblosc
 
 
 @register("transpose", "array_to_array")

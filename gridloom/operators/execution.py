@@ -7,6 +7,7 @@ import time
 import uuid
 from collections.abc import Callable, Sequence
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +17,18 @@ class Canceled(RuntimeError):
 
 
 class Tasks:
-    """A queue of functions that run as one job, a task each; results keep their order."""
+    """A queue of functions that run as tasks of Spark; results keep their order.
 
-    def __init__(self, spark: SparkSession):
-        self.sc, self.queue = spark.sparkContext, []
+    Without workers all run as one job, as many at once as the cluster has
+    cores. With workers at most that many run at once, a job each: a worker
+    takes the next task when it has ended one.
+    """
+
+    def __init__(self, spark: SparkSession, workers: int | None = None):
+        if workers is not None and workers < 1:
+            raise ValueError("a pool has one worker at least")
+        self.spark, self.sc, self.queue, self.workers = spark, spark.sparkContext, [], workers
+        self.cancelled: set[str] = set()
 
     def add(self, task: Callable[[], object]) -> None:
         """Queues a task; nothing starts."""
@@ -35,6 +44,8 @@ class Tasks:
         if not tasks:
             return []
         tag, sc = tag or f"run-{uuid.uuid4().hex}", self.sc
+        if self.workers:
+            return self._pooled(tasks, progress, tag)
         done, heard = threading.Event(), [0]
 
         def watch() -> None:
@@ -67,7 +78,45 @@ class Tasks:
             progress(len(tasks), len(tasks))
         return [r for _, r in sorted(out, key=lambda x: x[0])]
 
+    def _pooled(self, tasks: Sequence[Callable[[], object]], progress: Callable[[int, int], None] | None, tag: str) -> list:
+        out, lock, left, failed, done = [None] * len(tasks), threading.Lock(), list(enumerate(tasks))[::-1], [], [0]
+
+        def work() -> None:
+            self.sc.addJobTag(tag)
+            try:
+                while True:
+                    with lock:
+                        if failed or tag in self.cancelled or not left:
+                            return
+                        i, task = left.pop()
+                    found = self.sc.parallelize([task], 1).map(lambda t: t()).collect()[0]
+                    with lock:
+                        out[i] = found
+                        done[0] += 1
+                        if progress:
+                            progress(done[0], len(tasks))
+            except Exception as e:  # noqa: BLE001  told to the caller below
+                with lock:
+                    failed.append(e)
+            finally:
+                self.sc.removeJobTag(tag)
+
+        threads = [threading.Thread(target=inheritable_thread_target(self.spark)(work), daemon=True) for _ in range(min(self.workers, len(tasks)))]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join()
+        if tag in self.cancelled:
+            self.cancelled.discard(tag)
+            raise Canceled("Remaining tasks canceled") from (failed[0] if failed else None)
+        if failed:
+            raise failed[0]
+        return out
+
     def cancel(self, tag: str) -> None:
+        """Stops a run: its tasks that haven't begun never begin."""
+        if self.workers:
+            self.cancelled.add(tag)
         self.sc.cancelJobsWithTag(tag)
 
 

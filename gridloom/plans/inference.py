@@ -31,15 +31,16 @@ def candidates(elements: int, declared: Sequence[int], array: Sequence[int]) ->
     found: dict[tuple, None] = {}
     rank = len(declared)
 
-    def solve(known: dict[int, int], d: int) -> None:
-        """Completes a shape whose dimensions but d are known, if that fits the array."""
+    def solve(known: dict[int, int], d: int, bound: Sequence[int] = range(rank)) -> None:
+        """Completes a shape whose dimensions but d are known, if those of bound fit the array."""
         rest, left = divmod(elements, math.prod(known.values()))
         shape = tuple({**known, d: rest}[i] for i in range(rank))
-        if not left and all(0 < n <= m for n, m in zip(shape, array, strict=True)):
+        if not left and all(0 < shape[i] <= array[i] for i in bound):
             found.setdefault(shape)
 
     for d in range(rank):
-        solve({i: c for i, c in enumerate(declared) if i != d}, d)
+        # Declared sizes may be larger than the array; that only costs them score.
+        solve({i: c for i, c in enumerate(declared) if i != d}, d, [d])
     if rank == 3:
         for y, x in product(COMMON_SIZES, COMMON_SIZES):
             solve({1: y, 2: x}, 0)
@@ -65,27 +66,33 @@ def decompressed_size(data: bytes, codecs: Sequence[dict], decode: Callable[[byt
 
 
 def validated(shape: Sequence[int], array: Sequence[int], exists: Callable[[str], bool], encoding: str = "default", separator: str | None = None) -> bool:
-    """A shape is wrong if there is a chunk just beyond its grid, along the shortest dimension that has more than one chunk."""
+    """A shape is wrong if there is a chunk just beyond its grid, along the shortest dimension that has more than one chunk; a look that fails finds none."""
     counts = grid(array, shape)
     more = [d for d, n in enumerate(counts) if n > 1]
     if not more:
         return True
     d = min(more, key=lambda i: counts[i])
     beyond = [counts[d] if i == d else 0 for i in range(len(counts))]
-    return not exists(chunk_key(beyond, encoding, separator))
+    try:
+        return not exists(chunk_key(beyond, encoding, separator))
+    except Exception:  # noqa: BLE001  what can't be looked up isn't there
+        return True
 
 
-def probed(meta, first: bytes | None, exists: Callable[[str], bool], decode: Callable[[bytes], bytes] | None = None) -> list[int]:
-    """The chunk shape by chunk 0's size, the scores and the probes; the declared one where nothing better is found."""
+def probed(meta, first: Callable[[], bytes | None], exists: Callable[[str], bool], decode: Callable[[bytes], bytes] | None = None) -> list[int]:
+    """The chunk shape by chunk 0's size, the scores and the probes; the declared one where nothing better is found or anything fails."""
     import numpy as np
 
     from ..functions.dtypes import numpy_type
 
-    if first is None:
-        return list(meta.chunks)
-    size = decompressed_size(first, meta.codecs, decode)
-    width = np.dtype(numpy_type(meta.dtype)).itemsize
-    if not size or size % width or size // width == math.prod(meta.chunks):
-        return list(meta.chunks)
-    ranked = candidates(size // width, meta.chunks, meta.shape)
-    return next((s for s in ranked[:5] if validated(s, meta.shape, exists, meta.encoding, meta.separator)), ranked[0] if ranked else list(meta.chunks))
+    declared = list(meta.chunks)
+    try:
+        data = first()
+        size = decompressed_size(data, meta.codecs, decode) if data else None
+        width = np.dtype(numpy_type(meta.dtype)).itemsize
+        if not size or size % width or size // width == math.prod(declared):
+            return declared
+        ranked = candidates(size // width, declared, meta.shape)
+        return next((s for s in ranked[:5] if validated(s, meta.shape, exists, meta.encoding, meta.separator)), ranked[0] if ranked else declared)
+    except Exception:  # noqa: BLE001  a probe that fails leaves the array as it is declared
+        return declared

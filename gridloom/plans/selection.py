@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from ..functions.layout import chunk_key_column, edge_columns
 
 
+#: Chunks of a plan's partition.
+CHUNKS = 256
+
+
 class SelectionError(IndexError):
     """A selection that doesn't fit the array."""
 
@@ -88,7 +92,9 @@ def chunk_plan(spark: SparkSession, meta, dims: Sequence[Dim]) -> DataFrame:
     """One row a chunk that holds a selected cell: c0..., key, e0... (its shape within the array). Made by spark.range, not in the driver."""
     counts = [d.chunk_count(c) for d, c in zip(dims, meta.chunks, strict=True)]
     total = int(np.prod(counts, dtype=object)) if counts else 1
-    plan, left, coords = spark.range(total), F.col("id"), []
+    # Fetching and decoding follow the plan's partitions, so large plans get more of them.
+    parts = max(1, min(total, max(spark.sparkContext.defaultParallelism, total // CHUNKS)))
+    plan, left, coords = spark.range(0, total, 1, parts), F.col("id"), []
     for d, c, n in reversed(list(zip(dims, meta.chunks, counts, strict=True))):
         j = F.pmod(left, F.lit(max(n, 1)).cast("long"))
         left = F.floor(left / F.lit(max(n, 1))).cast("long")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
@@ -57,8 +58,8 @@ class ArrayMeta:
     def to_v3(self) -> str:
         key = {"name": self.encoding, "configuration": {"separator": self.separator or ("/" if self.encoding == "default" else ".")}}
         fill = self.fill
-        if isinstance(fill, float) and fill != fill:
-            fill = "NaN"
+        if isinstance(fill, float) and not math.isfinite(fill):
+            fill = "NaN" if fill != fill else "Infinity" if fill > 0 else "-Infinity"
         return json.dumps({"zarr_format": 3, "node_type": "array", "shape": list(self.shape), "data_type": self.dtype, "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": list(self.chunks)}}, "chunk_key_encoding": key, "codecs": list(self.codecs), "fill_value": fill, "attributes": self.attributes})
 
 

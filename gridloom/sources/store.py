@@ -1,20 +1,23 @@
-"""Chunk tables on any file system that Spark reads.
+"""Versioned chunk tables, and directories of chunks, on any file system.
 
-The native store is a Parquet table of encoded chunks beside a metadata
-document, a new version of the table for every write and a pointer that names
-the current one; readers see whole versions only. A directory of Zarr chunks is
-read by the binaryFile source and written by the executors.
+The native store is a Parquet table of encoded chunks, sorted by their
+coordinates, beside its metadata; each save is a new version, and a pointer
+that is replaced in one step names the current one, so readers see whole
+versions only. A directory of chunks, one key each, is updated in place.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .metadata import ArrayMeta, from_v3, read_metadata
+from .keys import Location
+from .metadata import ArrayMeta, from_v3
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -40,34 +43,51 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
-    """Writes beside the place and renames, so that no reader sees a part."""
+    """Writes beside the place and renames over it in one step, so that a reader finds the old file or the new one, never none."""
     fs, at = _file_system(spark, path)
     _, part = _file_system(spark, f"{path}.{uuid.uuid4().hex}")
     stream = fs.create(part, True)
     stream.write(bytearray(data))
     stream.close()
-    fs.delete(at, False)
-    if not fs.rename(part, at):
-        raise OSError(f"{path} could not be renamed into place")
+    rename = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(part), fs.makeQualified(at), how)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, the folder that all executors share; where it is unset, a temporary one, on a single machine only."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """df written once to the folder in spark.checkpoint.dir, which all executors share, and read again; a temporary folder where that is unset, as on one machine."""
+    """df written once to the shared folder and read again; the files go when the session ends."""
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared.rstrip('/')}/chunks-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def save(meta: ArrayMeta, chunks: DataFrame, path: str) -> None:
-    """A new version of the store; the old one stays readable until the pointer moves."""
+    """A new version of the store; the old one stays readable until the pointer moves.
+
+    Chunks are dealt by ranges of their coordinates, so that a selection's
+    ranges leave out whole files and row groups.
+    """
     spark, version = chunks.sparkSession, uuid.uuid4().hex
-    chunks.write.parquet(f"{path}/chunks-{version}")
-    write_bytes(spark, f"{path}/zarr.json", meta.to_v3().encode())
+    coords = [f"c{i}" for i in range(meta.rank)]
+    dealt = chunks.repartitionByRange(*coords).sortWithinPartitions(*coords) if coords else chunks
+    dealt.write.parquet(f"{path}/chunks-{version}")
+    write_bytes(spark, f"{path}/chunks-{version}.json", meta.to_v3().encode())
     write_bytes(spark, f"{path}/current", version.encode())
 
 
@@ -75,39 +95,22 @@ def load(spark: SparkSession, path: str) -> tuple[ArrayMeta, DataFrame]:
     version = read_bytes(spark, f"{path}/current")
     if version is None:
         raise FileNotFoundError(path)
-    return from_v3(read_bytes(spark, f"{path}/zarr.json")), spark.read.parquet(f"{path}/chunks-{version.decode()}")
-
-
-def read_directory(spark: SparkSession, path: str, declared: ArrayMeta | None = None) -> tuple[ArrayMeta, DataFrame]:
-    """The chunks of a Zarr directory as a table: c0..., key, payload."""
-    meta = read_metadata(lambda name: read_bytes(spark, f"{path}/{name}"), declared)
-    default = meta.encoding == "default"
-    separator = meta.separator or ("/" if default else ".")
-    number = r"\d+"
-    pattern = ("c" if default else "") + "".join((separator if default or i else "") + f"({number})" for i in range(meta.rank))
-    if not meta.rank:
-        pattern = "c" if default else "0"
-    pattern = "/" + pattern.replace(".", r"\.") + "$"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    root = F.regexp_extract("path", pattern, 0)
-    coords = [F.regexp_extract("path", pattern, i + 1).cast("long").alias(f"c{i}") for i in range(meta.rank)]
-    return meta, files.where(root != "").select(*coords, F.substring(root, 2, 1 << 30).alias("key"), F.col("content").alias("payload"))
-
-
-def write_directory(meta: ArrayMeta, chunks: DataFrame, path: str) -> None:
-    """One file a chunk, written by the executors, and zarr.json."""
-    from pyarrow import fs
-
-    def put(rows) -> None:
-        system, root = fs.FileSystem.from_uri(path)
-        for r in rows:
-            at = f"{root}/{r.key}"
-            system.create_dir(at.rpartition("/")[0], recursive=True)
-            with system.open_output_stream(at) as out:
-                out.write(bytes(r.payload))
-
-    chunks.select("key", "payload").foreachPartition(put)
-    write_bytes(chunks.sparkSession, f"{path}/zarr.json", meta.to_v3().encode())
+    at = f"{path}/chunks-{version.decode()}"
+    return from_v3(read_bytes(spark, f"{at}.json")), spark.read.parquet(at)
+
+
+def write_directory(meta: ArrayMeta, chunks: DataFrame, place: Location) -> int:
+    """One key a chunk, put by the executors, and zarr.json; the number of chunks."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, payload in zip(batch.column("key").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                place.put(key, payload)
+            yield batch.select(["key"])
+
+    n = chunks.select("key", "payload").mapInArrow(put, "key string").count()
+    place.put("zarr.json", meta.to_v3().encode())
+    return n
 
 
 def synthetic(spark: SparkSession, meta: ArrayMeta) -> DataFrame:

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gridloom.functions.layout import strides
-from gridloom.operators.array import ArrayFrame
+from gridloom.operators.array import ArrayFrame, StoredArray
 from gridloom.plans.selection import slice_
 from gridloom.sources.metadata import PLAIN, ArrayMeta
 from gridloom.sources.store import synthetic
@@ -142,27 +142,112 @@ def test_store_directory_and_versions(spark, tmp_path):
     b = a.write([slice_(2, 4)], 7).save(at)
     assert np.array_equal(a.dense(), want) and (b.dense()[2:4] == 7).all()
     assert np.array_equal(ArrayFrame.open(spark, at).dense(), b.dense())
-    from gridloom.sources.store import write_directory
-
     for encoding, separator in (("default", "/"), ("default", "."), ("v2", "."), ("v2", "/")):
         out = f"file://{tmp_path}/z-{encoding}-{ord(separator)}"
         c = made(spark, want, (3, 2), encoding=encoding, separator=separator)
-        write_directory(c.meta, c.chunks, out)
-        opened = ArrayFrame.open_directory(spark, out)
-        assert opened.meta == c.meta and np.array_equal(opened.dense(), want)
+        StoredArray.create(c, out)
+        opened = StoredArray.open(spark, out)
+        assert opened.meta == c.meta and np.array_equal(opened.frame().dense(), want)
+    assert np.array_equal(StoredArray.open(spark, f"file://{tmp_path}", "z-v2-46").frame([slice_(2, 5)]).dense([slice_(3, 5)]), want[3:5])
+
+
+def values_of(df, shape):
+    out = np.zeros(shape, np.int64)
+    for r in df.collect():
+        out[tuple(r[:-1])] = r.value
+    return out
+
+
+def test_a_directory_is_read_and_written_by_planned_keys(spark, tmp_path):
+    want = np.arange(48, dtype=np.int32).reshape(8, 6)
+    a = StoredArray.create(made(spark, want, (2, 3)), f"file://{tmp_path}/d", "some/array")
+    at = tmp_path / "d" / "some" / "array"
+    # Keys that the plan doesn't name may hold anything.
+    for key in ("c/3/0", "c/3/1", "c/0/1"):
+        (at / key).write_bytes(b"not a chunk")
+    (at / "c/1/0").unlink()
+    got = values_of(a.read([slice_(1, 6), slice_(0, 3)]), (5, 3))
+    want[2:4, :3] = 0
+    assert np.array_equal(got, want[1:6, :3])
+    stamps = {f: f.stat().st_mtime_ns for f in at.glob("c/*/*")}
+    # A part of one chunk, the whole of another (unreadable before), a missing one.
+    assert a.write([slice_(4, 5), slice_(0, 2)], -5) == 1
+    assert a.write([slice_(6, 8), slice_(0, 3)], 9) == 1
+    assert a.write([2], cells(spark, np.array([7]), "o").withColumn("o0", F.col("o0") + 1)) == 1
+    want[4, :2], want[6:, :3], want[2, 1] = -5, 9, 7
+    assert np.array_equal(values_of(a.read([None, slice_(0, 3)]), (8, 3)), want[:, :3])
+    changed = {str(f.relative_to(at)) for f in at.glob("c/*/*") if stamps.get(f) != f.stat().st_mtime_ns}
+    assert changed == {"c/2/0", "c/3/0", "c/1/0"}
+
+
+def test_one_cell_stores_one_chunk(spark):
+    a = ArrayFrame.empty(spark, ArrayMeta((100, 100), (2, 10), "int32", fill=-1))
+    b = a.write(None, spark.createDataFrame([(51, 7, 3)], "o0 long, o1 long, value long"))
+    assert b.chunks.count() == 1 and b.scalar([51, 7]) == 3 and b.scalar([51, 8]) == -1
+    with pytest.raises(Exception, match="outside the array"):
+        ArrayFrame.from_cells(spark.createDataFrame([(100, 7, 3)], "i0 long, i1 long, value long"), a.meta).chunks.count()
+
+
+def test_held_chunks_are_neither_fetched_nor_decoded_again(spark, tmp_path):
+    want = np.arange(24, dtype=np.int32).reshape(6, 4)
+    a = StoredArray.create(made(spark, want, (2, 2), codecs=(*PLAIN, {"name": "gzip"}), fill=8), f"file://{tmp_path}/d")
+    (tmp_path / "d" / "c/1/0").unlink()
+    want[2:4, :2] = 8
+    held = a.cache([slice_(0, 4)])
+    assert np.array_equal(values_of(held.read([slice_(0, 4)]), (4, 4)), want[:4])
+    assert [r.cache_key.partition(":")[2] for r in held.held.chunks.orderBy("key").collect()] == ["/:c/0/0", "/:c/0/1", "/:c/1/0", "/:c/1/1"]
+    for f in (tmp_path / "d").glob("c/[01]/*"):
+        f.write_bytes(b"broken")
+    assert np.array_equal(values_of(held.read([slice_(1, 4, 2)]), (2, 4)), want[1:4:2])
+    assert np.array_equal(values_of(held.read([slice_(4, 6)]), (2, 4)), want[4:])  # goes past what is held
+    with pytest.raises(Exception):
+        held.unpersist().read([0]).collect()
+    frame = made(spark, want, (2, 2)).cache()
+    assert np.array_equal(frame.dense(), want) and frame.unpersist().held is None
+
+
+def test_arrays_on_a_web_server(spark, tmp_path):
+    from functools import partial
+    from http.server import SimpleHTTPRequestHandler, ThreadingHTTPServer
+    from threading import Thread
+
+    want = np.arange(12, dtype=np.int32).reshape(4, 3)
+    StoredArray.create(made(spark, want, (2, 2)), f"file://{tmp_path}/w", "a")
+    (tmp_path / "w" / "a" / "c/1/1").unlink()
+    want[2:, 2:] = 0
+
+    class Handler(SimpleHTTPRequestHandler):
+        def do_GET(self):
+            if self.headers.get("X-Key") != "right":
+                return self.send_error(500)
+            return super().do_GET()
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), partial(Handler, directory=str(tmp_path / "w")))
+    Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        address = f"http://127.0.0.1:{server.server_port}"
+        a = StoredArray.open(spark, address, "a", headers={"X-Key": "right"})
+        assert np.array_equal(values_of(a.read(), (4, 3)), want)
+        with pytest.raises(Exception, match="500"):
+            a.read(headers={"X-Key": "wrong"}).collect()
+        with pytest.raises(Exception, match="can't be written"):
+            a.write([0], 1)
+    finally:
+        server.shutdown()
 
 
 def test_wrong_chunk_shape_is_found_at_open(spark, tmp_path):
-    from gridloom.sources.store import write_bytes, write_directory
-
-    for spec in (PLAIN, (*PLAIN, {"name": "gzip"}), (*PLAIN, {"name": "zstd"})):
+    for spec in (PLAIN, (*PLAIN, {"name": "gzip"}), (*PLAIN, {"name": "zstd"}), (*PLAIN, {"name": "blosc", "configuration": {"typesize": 4}})):
         for shape, real, wrong in (((12, 8), (4, 3), (3, 3)), ((6, 6), (3, 6), (3, 3))):
             want = np.arange(1, 1 + math.prod(shape), dtype=np.int32).reshape(shape)
             a, out = made(spark, want, real, codecs=spec), f"file://{tmp_path}/{len(spec)}{spec[-1]['name']}{shape[0]}"
-            write_directory(a.meta, a.chunks, out)
-            write_bytes(spark, f"{out}/zarr.json", a.meta.with_chunks(wrong).to_v3().encode())
-            opened = ArrayFrame.open_directory(spark, out, probe=True)
-            assert opened.meta.chunks == real and np.array_equal(opened.dense(), want)
+            stored = StoredArray.create(a, out)
+            stored.place.put("zarr.json", a.meta.with_chunks(wrong).to_v3().encode())
+            opened = StoredArray.open(spark, out, probe=True)
+            assert opened.meta.chunks == real and np.array_equal(opened.frame().dense(), want)
 
 
 def test_persist(spark):
@@ -182,3 +267,15 @@ def test_stream_of_cells(spark, tmp_path):
     write_stream(stream, at, f"file://{tmp_path}/checkpoint").awaitTermination(120)
     got = ArrayFrame.open(spark, at).dense()
     assert got[0, :3].tolist() == [0, 1, 2] and got[1, :3].tolist() == [10, 11, 12] and (got[2:] == -1).all()
+
+
+def test_stream_into_a_directory_puts_only_its_chunks(spark, tmp_path):
+    from gridloom.streaming import write_stream
+
+    at, source = f"file://{tmp_path}/array", f"file://{tmp_path}/in"
+    StoredArray.create(ArrayFrame.empty(spark, ArrayMeta((400, 6), (3, 4), "int32", fill=-1)), at)
+    spark.createDataFrame([(3, 1, 5), (300, 5, 6)], "i0 long, i1 long, value long").write.parquet(source)
+    write_stream(spark.readStream.schema("i0 long, i1 long, value long").parquet(source), at, f"file://{tmp_path}/checkpoint").awaitTermination(120)
+    assert sorted(str(f.relative_to(tmp_path / "array")) for f in (tmp_path / "array" / "c").glob("*/*") if not f.name.startswith(".")) == ["c/1/0", "c/100/1"]
+    a = StoredArray.open(spark, at)
+    assert [r.value for r in a.read([slice_(3, 4)]).orderBy("o1").collect()] == [-1, 5, -1, -1, -1, -1]

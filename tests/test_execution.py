@@ -32,6 +32,29 @@ def test_cancel(spark):
         tasks.run([lambda: time.sleep(20)] * 4, tag="stop-me")
 
 
+def test_a_pool_runs_no_more_than_its_workers(spark, tmp_path):
+    def mark(n):
+        at = tmp_path / f"run-{n}"
+        at.touch()
+        time.sleep(0.3)
+        seen = len(list(tmp_path.glob("run-*")))
+        at.unlink()
+        return n, seen
+
+    pool, heard = E.Tasks(spark, workers=2), []
+    found = pool.run([lambda n=n: mark(n) for n in range(6)], lambda a, b: heard.append((a, b)))
+    assert [n for n, _ in found] == list(range(6)) and max(seen for _, seen in found) <= 2
+    assert heard == [(n, 6) for n in range(1, 7)]
+    with pytest.raises(Exception, match="intentional failure"):
+        pool.run([lambda: (_ for _ in ()).throw(ValueError("intentional failure")), lambda: 1])
+    threading.Timer(0.15, lambda: pool.cancel("mine")).start()
+    with pytest.raises(E.Canceled, match="Remaining tasks canceled"):
+        pool.run([lambda: time.sleep(1)] * 4, tag="mine")
+    assert pool.run([lambda: 1]) == [1]
+    with pytest.raises(ValueError):
+        E.Tasks(spark, workers=0)
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([("read", "plain", 4.0), ("read", "plain", 8.0), ("read", "pooled", 3.0), ("read", "pooled", 1.0)], "operation string, variant string, ms double")
     stats = E.timing_stats(df, "operation", "variant")
