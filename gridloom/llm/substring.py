@@ -1,12 +1,13 @@
 """Substring dedup by sliding sentence spans.
 
 A sentence ends after a word that ends in . ! or ?, at a line's end and at the
-text's end. A span is a run of consecutive sentences: from each sentence the
-shortest run onwards, and the shortest run back, of at least TWO sentences and
-MIN_WORDS words; a sentence of ALONE words or more is a span too. Spans are
-hashed (128 bits, words in lower case, any white space), joined over all
-documents, and every sentence under a span that is not the first of its kind
-goes. First is the smallest (id, text hash, place).
+text's end. A span is a run of SEVERAL = 3 consecutive sentences, every one
+of them, whatever its length; longer repeated runs consist of such. So that long
+passages of few sentences are met too, two sentences of MIN_WORDS words together
+and one of ALONE words are spans as well. Spans are hashed (128 bits, words in
+lower case, any white space), joined over all documents, and every sentence
+under a span that is not the first of its kind goes. First is the smallest
+(id, text hash, place).
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 
 from .common import SPACES, buffer_of, docs_of, mixed, pieces, powers, prefix_sums, span_hashes, spans_of, staged, table_of, texts_of
 
-MIN_WORDS, ALONE, TWO = 25, 50, 2
+SEVERAL, MIN_WORDS, ALONE = 3, 25, 50
 BLANK = table_of(lambda b: b in SPACES)
 LINE = table_of(lambda b: b in b"\n\r")
 STOP = table_of(lambda b: b in b".!?")
@@ -47,19 +48,16 @@ class Sentences:
         self.edges = np.searchsorted(self.doc, np.arange(len(texts) + 1))
         self.bounds = bounds
 
-    def spans(self, min_words: int, alone: int) -> tuple[np.ndarray, np.ndarray]:
-        """First and last sentence of every span."""
-        n = len(self.at)
-        each = np.arange(n)
-        onward = np.maximum(each + TWO - 1, np.searchsorted(self.to, self.at + min_words))
-        back = np.minimum(each - TWO + 1, np.searchsorted(self.at, self.to - min_words, "right") - 1)
-        single = np.flatnonzero(self.to - self.at >= alone)
-        a, b = np.concatenate([each, back, single]), np.concatenate([onward, each, single])
-        inside = (a >= 0) & (b < n)
-        a, b = a[inside], b[inside]
-        same = self.doc[a] == self.doc[b]
-        keys = np.unique(a[same] * (n + 1) + b[same])
-        return keys // (n + 1), keys % (n + 1)
+    def spans(self, several: int, min_words: int, alone: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and last sentence of every span: all runs of several sentences, pairs of min_words words and sentences of alone words."""
+        n, first, last = len(self.at), [], []
+        for size, least in {several: 0, **({2: min_words} if several > 2 else {}), **({1: alone} if several > 1 else {})}.items():
+            a = np.arange(max(0, n - size + 1))
+            b = a + size - 1
+            fine = (self.doc[a] == self.doc[b]) & (self.to[b] - self.at[a] >= least)
+            first.append(a[fine])
+            last.append(b[fine])
+        return np.concatenate(first), np.concatenate(last)
 
     def hashes(self, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
         """Two independent hashes of the words from sentence a to sentence b."""
@@ -73,12 +71,12 @@ class Sentences:
         return out
 
 
-def _spans(keyed: DataFrame, min_words: int, alone: int) -> DataFrame:
+def _spans(keyed: DataFrame, several: int, min_words: int, alone: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "t"):
                 s = Sentences(texts_of(part, "t"))
-                a, b = s.spans(min_words, alone)
+                a, b = s.spans(several, min_words, alone)
                 h, g = s.hashes(a, b) if len(a) else (np.zeros(0, np.uint64),) * 2
                 own, first = s.doc[a], s.edges[s.doc[a]]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), part.column("id").take(pa.array(own)), part.column("th").take(pa.array(own)), pa.array((a - first).astype(np.int32)), pa.array((b - first).astype(np.int32))], names=["h", "g", "id", "th", "a", "b"])
@@ -86,7 +84,7 @@ def _spans(keyed: DataFrame, min_words: int, alone: int) -> DataFrame:
     return keyed.mapInArrow(run, f"h long, g long, id {keyed.schema['id'].dataType.simpleString()}, th long, a int, b int")
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "repeats", keep: list[str] | None = None, min_words: int = MIN_WORDS, alone: int = ALONE) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "repeats", keep: list[str] | None = None, several: int = SEVERAL, min_words: int = MIN_WORDS, alone: int = ALONE) -> DataFrame:
     """Adds out_col: n_sentences, n_removed, spans (numbers of the removed sentences) and text, what is left of the text.
 
     A null text stays null with 0 sentences; rows of the same id and text are
@@ -99,9 +97,12 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError(f"the input has a column {out_col} already; name another out_col")
     names = [f"c{i}" for i in range(len(keep))]
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"), F.col(f"`{text_col}`").alias("t"), *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True) if c != text_col])
-    spans = staged(_spans(rows.select("id", "th", "t").where("t is not null"), min_words, alone), "spans")
-    firsts = staged(spans.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "a")).alias("first")).where("n > 1").drop("n"), "firsts")
-    later = spans.join(firsts, ["h", "g"]).where(~F.struct("id", "th", "a").eqNullSafe(F.col("first")))
+    spans = staged(_spans(rows.select("id", "th", "t").where("t is not null"), several, min_words, alone), "spans")
+    # Counts alone are shuffled first; the few spans that repeat are then named and compared.
+    often = spans.groupBy("h", "g").count().where("count > 1").select("h", "g")
+    met = staged(spans.join(often, ["h", "g"]), "met")
+    firsts = met.groupBy("h", "g").agg(F.min(F.struct("id", "th", "a")).alias("first"))
+    later = met.join(firsts, ["h", "g"]).where(~F.struct("id", "th", "a").eqNullSafe(F.col("first")))
     marks = later.groupBy(F.col("id").alias("mi"), F.col("th").alias("mt")).agg(F.collect_set(F.struct("a", "b")).alias("marks"))
     joined = rows.join(marks, rows.id.eqNullSafe(marks.mi) & (rows.th == marks.mt), "left").drop("id", "th", "mi", "mt")
     kept = [n for c, n in zip(keep, names, strict=True) if c != text_col]

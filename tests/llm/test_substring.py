@@ -30,12 +30,8 @@ def brute(rows, least, alone):
         n = len(s)
         size = lambda a, b, s=s: sum(len(w) for _, w in s[a : b + 1])
         spans = set()
-        for i in range(n):
-            j = next((j for j in range(i + 1, n) if size(i, j) >= least), None)
-            k = next((k for k in range(i - 1, -1, -1) if size(k, i) >= least), None)
-            spans |= {(i, j)} if j is not None else set()
-            spans |= {(k, i)} if k is not None else set()
-            spans |= {(i, i)} if size(i, i) >= alone else set()
+        for k, words in ((3, 0), (2, least), (1, alone)):
+            spans |= {(i, i + k - 1) for i in range(n - k + 1) if size(i, i + k - 1) >= words}
         for a, b in spans:
             groups[tuple(w for _, ws in s[a : b + 1] for w in ws)].add((key, a, b, (d, t)))
     gone = defaultdict(set)
@@ -70,6 +66,9 @@ ROWS = [
     (10, "Clean words only here. Nothing is repeated at all. Three sentences."),
     (11, "LA!! DE!! UN!! LA!! DE!! UN!!"),
     (12, "LA!! DE!! UN!!"),
+    (13, "Ab. Cd. Ef. and so"),
+    (14, "Other words. Ab. Cd. Ef. and more"),
+    (15, "Ab. Cd. Other ones. Ef."),
 ]
 
 
@@ -84,5 +83,7 @@ def test_matches_brute_force(spark, least, alone):
         assert (r.repeats.n_sentences, list(r.repeats.spans), r.repeats.text) == want[r.doc_id, r.text], r.doc_id
         assert r.repeats.n_removed == len(r.repeats.spans)
     assert S.drop_repeats(df.limit(0)).collect() == []
+    short = {r.doc_id: r.repeats.text for r in got}
+    assert short[14] == "Other words. and more" and short[15] == "Ab. Cd. Other ones. Ef."
     with pytest.raises(ValueError):
         S.drop_repeats(df, out_col="h")
