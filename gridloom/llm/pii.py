@@ -28,6 +28,8 @@ DISCLOSURE = 0.8
 #: Least log-likelihood ratio of a term and an entity: one in a thousand by chance.
 SIGNIFICANT = 10.83
 WORD = r"\p{L}++"
+#: Elements of an array that are appended one by one.
+BLOCK = 256
 KINDS = ("email", "ip", "card", "phone", "term")
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -48,12 +50,33 @@ CHECKS = {
 }
 
 
+def blocks(array: str) -> str:
+    """SQL for an array in blocks of BLOCK elements. Building an array by appending takes time in the square of its length; within blocks, and over them, that is little for any text."""
+    return f"transform(sequence(0, greatest(size({array}) - 1, 0) div {BLOCK}), b -> slice({array}, b * {BLOCK} + 1, {BLOCK}))"
+
+
 def located(text: str, pattern: str) -> str:
     """SQL for the matches of a pattern, as structs of start, end (code points) and text: what lies between the matches gives their places."""
-    return f"""aggregate(zip_with(split({text}, r'{pattern}', -1), regexp_extract_all({text}, r'{pattern}', 0), (g, m) -> named_struct('g', length(g), 'm', m)),
-      named_struct('p', 0, 'o', {EMPTY}),
-      (a, x) -> if(x.m is null, a, named_struct('p', a.p + x.g + length(x.m), 'o', concat(a.o, array(named_struct('s', a.p + x.g, 'e', a.p + x.g + length(x.m), 't', x.m))))),
-      a -> a.o)"""
+    both = f"zip_with(split({text}, r'{pattern}', -1), regexp_extract_all({text}, r'{pattern}', 0), (g, m) -> named_struct('g', length(g), 'm', m))"
+    within = f"""aggregate(x, named_struct('p', at, 'o', {EMPTY}),
+      (a, y) -> if(y.m is null, a, named_struct('p', a.p + y.g + length(y.m), 'o', concat(a.o, array(named_struct('s', a.p + y.g, 'e', a.p + y.g + length(y.m), 't', y.m))))), a -> a.o)"""
+    begins = "aggregate(cut, named_struct('p', 0, 'o', cast(array() as array<int>)), (a, x) -> named_struct('p', a.p + aggregate(x, 0, (n, y) -> n + y.g + coalesce(length(y.m), 0)), 'o', concat(a.o, array(a.p))), a -> a.o)"
+    # A value is named by making it the one element of an array.
+    return f"flatten(element_at(transform(transform(array({both}), every -> {blocks('every')}), cut -> zip_with(cut, {begins}, (x, at) -> {within})), 1))"
+
+
+def rewritten(text: str, spans: str, kinds: str) -> str:
+    """SQL for a text whose spans, in order, are replaced by their kinds; what overlaps is replaced once, under the first one's kind.
+
+    A piece is a kind with the text's part before it, from a to b. Pieces are
+    made by block, each block's pieces cut out of the block's part of the text.
+    """
+    pieces = "cast(array() as array<struct<a:int,b:int,k:int>>)"
+    step = f"aggregate(x, named_struct('p', c.p, 'o', {pieces}), (d, y) -> named_struct('p', greatest(d.p, y.e), 'o', if(y.s < d.p, d.o, concat(d.o, array(named_struct('a', d.p, 'b', y.s, 'k', y.k))))))"
+    whole = f"aggregate({blocks(spans)}, named_struct('p', 0, 'o', cast(array() as array<array<struct<a:int,b:int,k:int>>>)), (c, x) -> element_at(transform(array({step}), n -> named_struct('p', n.p, 'o', concat(c.o, array(n.o)))), 1))"
+    part = "substring(t, element_at(x, 1).a + 1, element_at(x, -1).b - element_at(x, 1).a)".replace("(t,", f"({text},")
+    made = f"element_at(transform(array(named_struct('u', {part}, 'at', element_at(x, 1).a)), v -> array_join(transform(x, y -> concat(substring(v.u, y.a - v.at + 1, y.b - y.a), '[', upper(element_at({kinds}, y.k + 1)), ']')), '')), 1)"
+    return f"element_at(transform(array({whole}), w -> concat(array_join(transform(filter(w.o, x -> size(x) > 0), x -> {made}), ''), substring({text}, w.p + 1, length({text})))), 1)"
 
 
 def base_spans(kind: str) -> Column:
@@ -139,9 +162,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ou
     kinds = f"array({', '.join(repr(k) for k in KINDS)})"
     made = [F.expr(f"transform(spans, x -> named_struct('kind', element_at({kinds}, x.k + 1), 'start', x.s, 'end', x.e))").alias("spans")]
     if rewrite:
-        made.append(F.expr(f"""case when size(spans) = 0 then t else aggregate(spans, named_struct('p', 0, 'o', ''),
-          (a, x) -> named_struct('p', greatest(a.p, x.e), 'o', if(x.s < a.p, a.o, concat(a.o, substring(t, a.p + 1, x.s - a.p), '[', upper(element_at({kinds}, x.k + 1)), ']'))),
-          a -> concat(a.o, substring(t, a.p + 1, length(t)))) end""").alias("text"))
+        made.append(F.expr(f"case when size(spans) = 0 then t else {rewritten('t', 'spans', kinds)} end").alias("text"))
     return joined.select(*[F.col("t" if c == text_col else n).alias(c) for c, n in zip(keep, names, strict=True)], F.struct(*made).alias(out_col))
 
 
