@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 3 << 20
+#: Bytes of text that numpy works on at once.
+SLICE_BYTES = 1 << 20
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SPACES = b" \t\n\x0b\x0c\r"
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -22,19 +23,24 @@ _inverses = np.ones(1, np.uint64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; a temporary one where it is unset (single machine, tests)."""
+    """The cluster's shared folder, spark.checkpoint.dir; where it is unset, a temporary one, on a single machine only."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read again: lineage ends there and lost executors cost no recomputation."""
+    """df written once to the shared folder and read again: lineage ends there and lost executors cost no recomputation. The files go when the session ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,6 +7,13 @@ on a table's bits form a cell. A cell of more than CELL fingerprints is dealt
 again by its remaining bits in the same way, up to three times, when at most 8
 free bits are left: no cell is ever larger than CELL, and no pair is lost.
 
+Wide fingerprints estimate similarity: of two sets of shingles with a Jaccard
+similarity of s the cosine is 2 s / (1 + s), and a bit differs with the angle's
+share of a half turn. They are met in tables of random bits; the number of bits
+follows the number of fingerprints, the number of tables from the share of
+links to be found. A cell of more than WIDE_CELL rows is cut into blocks, and
+each two blocks meet in a task of their own.
+
 Within a task the cells lie side by side. Bit planes are stored vertically, one
 bit a fingerprint; for each shift d, plane XOR plane-shifted-by-d gives one bit
 of the distance of all pairs (i, i + d) at once, and carry-save counters add
@@ -19,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +34,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, annotate, buffer_of, docs_of, staged, table_of
+from .common import SPACES, annotate, buffer_of, docs_of, mixed, pieces, staged, table_of, texts_of
 
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 BLANK = table_of(lambda b: bytes([b]) in [SPACES[i : i + 1] for i in range(len(SPACES))])
 RADIUS = 2
 CELL = 2048
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Groups of 255 hashes whose bits are added up at once.
+GROUPS = 256
+#: Of the wide fingerprints: bits, words of a shingle, the least similarity of linked documents, the share of links of just that similarity that the tables find.
+BITS, WORDS, SIMILARITY, FOUND = 512, 5, 0.8, 0.97
+#: Mean rows of a cell, and rows of a cell that meet in one task.
+MEAN_CELL, WIDE_CELL = 64, 4096
 
 
 def _rotl(x: np.ndarray, r: int) -> np.ndarray:
@@ -89,8 +103,8 @@ def xxh64(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int =
         return h ^ (h >> np.uint64(32))
 
 
-def fingerprints(texts: list[bytes], size: int = 3) -> np.ndarray:
-    """One fingerprint a text: bit b is 1 if over half the shingle hashes have it; no words give zero."""
+def shingle_hashes(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all texts' word shingles, repeats included, and where each text's begin, with the end of all."""
     buf, bounds = buffer_of(texts)
     blank = BLANK[buf]
     before = np.concatenate([[True], blank[:-1]])
@@ -101,21 +115,46 @@ def fingerprints(texts: list[bytes], size: int = 3) -> np.ndarray:
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(ends)]
     span = np.minimum(words, size)
     shingles = np.where(words > 0, words - span + 1, 0)
-    out = np.zeros(len(texts), np.uint64)
-    if not shingles.sum():
-        return out
     edges = np.concatenate([[0], np.cumsum(shingles)])
+    if not edges[-1]:
+        return np.zeros(0, np.uint64), edges
     doc = np.repeat(np.arange(len(texts)), shingles)
     first = np.concatenate([[0], np.cumsum(words)])[doc] + np.arange(edges[-1]) - edges[doc]
     s = starts[first]
-    h = xxh64(flat, s, ends[first + span[doc] - 1] - s)
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    full = np.flatnonzero(shingles)
-    for i in full.tolist():
-        a, b = edges[i], edges[i + 1]
-        ones = bits[a:b].sum(axis=0, dtype=np.int64)
-        out[i] = np.packbits(2 * ones > b - a, bitorder="little").view("<u8")[0]
-    return out
+    return xxh64(flat, s, ends[first + span[doc] - 1] - s), edges
+
+
+def majority(h: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Of each text the bits that over half its hashes have; no hashes give zero.
+
+    Bits are unpacked to bytes and added eight columns at a time, 255 hashes a
+    byte, some thousand hashes at once: a long text takes no more memory.
+    """
+    size = np.diff(edges)
+    ones = np.zeros((len(size), 64), np.int64)
+    groups = -(-size // 255)
+    doc = np.repeat(np.arange(len(size)), groups)
+    begin = edges[doc] + 255 * (np.arange(len(doc)) - np.repeat(np.cumsum(groups) - groups, groups))
+    for at in range(0, len(doc), GROUPS):
+        own, first = doc[at : at + GROUPS], begin[at : at + GROUPS]
+        last = int(begin[at + GROUPS]) if at + GROUPS < len(doc) else len(h)
+        bits = np.unpackbits(h[first[0] : last].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sums = np.add.reduceat(bits.view(np.uint64), first - first[0], axis=0).view(np.uint8)
+        cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        ones[own[cut]] += np.add.reduceat(sums, cut, axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
+def fingerprints(texts: list[bytes], size: int = 3) -> np.ndarray:
+    """One fingerprint a text, of 64 bits."""
+    return majority(*shingle_hashes(texts, size))
+
+
+def wide_fingerprints(texts: list[bytes], size: int = WORDS) -> np.ndarray:
+    """Fingerprints of BITS bits, a row of bytes each: the first 64 from the shingles' hashes, the others from what mixing makes of these."""
+    h, edges = shingle_hashes(texts, size)
+    parts = [majority(h if k == 0 else mixed(h + np.uint64(k * int(P5) & int(FULL))), edges) for k in range(BITS // 64)]
+    return np.stack(parts, axis=1).astype("<u8").view(np.uint8).reshape(len(texts), BITS // 8)
 
 
 def add_fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "simhash", size: int = 3, keep: list[str] | None = None) -> DataFrame:
@@ -300,21 +339,201 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select(*[F.col(f"`{c}`") for c in keep], F.struct(F.col("__fp").alias("fingerprint"), F.col("__root").alias("root"), F.col("__component").alias("component")).alias(out_col))
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row of each component, that of its smallest id, with all columns as they are.
+def apart(similarity: float) -> float:
+    """The share of bits in which the fingerprints of two sets of that Jaccard similarity differ, as expected."""
+    return acos(min(1.0, 2 * similarity / (1 + similarity))) / pi
+
+
+def allowed(similarity: float) -> int:
+    """Bits in which linked fingerprints may differ: what is expected at that similarity and a standard error."""
+    p = apart(similarity)
+    return int(BITS * p + (BITS * p * (1 - p)) ** 0.5)
+
+
+def tables_for(n: int, similarity: float, found: float) -> list[np.ndarray]:
+    """The bits of each table: so many that a cell has about MEAN_CELL of n fingerprints, and so many tables that a link of just that similarity shares a cell with probability found."""
+    bits = max(8, ceil(log2(max(n, 1) / MEAN_CELL)))
+    tables = ceil(log(1 - found) / log(1 - (1 - apart(similarity)) ** bits)) if similarity < 1 else 1
+    rng = np.random.default_rng(11)
+    return [rng.choice(BITS, bits, replace=False) for _ in range(tables)]
+
+
+def _counter_added(counter: list[np.ndarray], x: list[np.ndarray]) -> np.ndarray:
+    """Adds four planes to the counters by carry-save adders; the lanes in which the highest counter carries."""
+
+    def full(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        t = a ^ b
+        return t ^ c, (a & b) | (t & c)
+
+    counter[0], k = full(counter[0], x[0], x[1])
+    counter[0], m = full(counter[0], x[2], x[3])
+    counter[1], carry = full(counter[1], k, m)
+    for i in range(2, len(counter)):
+        carry, counter[i] = counter[i] & carry, counter[i] ^ carry
+    return carry
+
+
+def link_wide(cells: np.ndarray, nodes: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stars (node, its component's least) of the fingerprints of a cell within radius bits; rows are sorted by cell.
+
+    Each cell's first row is held against all its rows before; what that
+    connects lies side by side afterwards, and pairs known to be connected are
+    not compared, so that a cell of like fingerprints costs one pass.
+    """
+    change = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+    sizes = np.diff(np.append(change, len(cells)))
+    some = np.flatnonzero(sizes > 1)
+    if not len(some):
+        return nodes[:0], nodes[:0]
+    some = some[np.argsort(-sizes[some], kind="stable")]
+    size = np.repeat(sizes[some], sizes[some])
+    head = np.repeat(np.cumsum(sizes[some]) - sizes[some], sizes[some])
+    rows = np.repeat(change[some], sizes[some]) + np.arange(len(size)) - head
+    like = np.bitwise_count(prints[rows].view("<u8") ^ prints[rows[head]].view("<u8")).sum(axis=1, dtype=np.int64) <= radius
+    order = np.lexsort((~like, head))
+    rows, like = rows[order], like[order]
+    n, top = len(rows), int(sizes[some[0]])
+    place = np.arange(n) - head
+    parent = np.where(like, head, np.arange(n))
+    width = (n + 63) // 64
+    planes = np.zeros((BITS, (width + top // 64 + 2) * 8), np.uint8)
+    for at in range(0, BITS, 64):
+        bits = np.unpackbits(np.ascontiguousarray(prints[rows, at // 8 : at // 8 + 8]), axis=1, bitorder="little")
+        packed = np.packbits(bits.T, axis=1, bitorder="little")
+        planes[at : at + 64, : packed.shape[1]] = packed
+    planes = planes.view("<u8")
+    depth = radius.bit_length()
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for d in range(1, top):
+        lanes = int(np.searchsorted(-size, -d))
+        fresh = place[:lanes] + d < size[:lanes]
+        fresh[: n - d] &= parent[: min(lanes, n - d)] != parent[d : d + min(lanes, n - d)]
+        packed = np.packbits(fresh, bitorder="little")
+        valid = np.zeros((lanes + 63) // 64 * 8, np.uint8)
+        valid[: len(packed)] = packed
+        over = ~valid.view("<u8")
+        words = np.flatnonzero(over != FULL)
+        if not len(words):
+            continue
+        over = over[words]
+        # Counters start so high that one more than radius carries out of the highest.
+        start = (1 << depth) - 1 - radius
+        counter = [np.full_like(over, FULL if start >> i & 1 else 0) for i in range(depth)]
+        for b in range(0, BITS, 4):
+            over |= _counter_added(counter, [planes[b + k][words] ^ _shifted(planes[b + k], d, words) for k in range(4)])
+            if b % 16 == 12:
+                live = over != FULL
+                if not live.all():
+                    words, over, counter = words[live], over[live], [c[live] for c in counter]
+                    if not len(words):
+                        break
+        if not len(words):
+            continue
+        lane, bit = np.nonzero(np.unpackbits((~over).view(np.uint8), bitorder="little").reshape(-1, 64))
+        for a in (words[lane] * 64 + bit).tolist():
+            p, q = root(a), root(a + d)
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+        while (up := parent[parent] != parent).any():
+            parent[up] = parent[parent[up]]
+    own = np.flatnonzero(parent != np.arange(n))
+    return nodes[rows[own]], nodes[rows[parent[own]]]
+
+
+def _dealt(tables: list[np.ndarray]):
+    """A mapInArrow function from (node, print) to a row for each table: cell, node, print."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                raw = np.frombuffer(b"".join(part.column("print").to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                bits = np.unpackbits(raw, axis=1, bitorder="little").astype(np.int64)
+                for k, t in enumerate(tables):
+                    cell = (bits[:, t] << np.arange(len(t))).sum(axis=1) << 12 | k
+                    yield pa.RecordBatch.from_arrays([pa.array(cell), part.column("node"), part.column("print")], names=["cell", "node", "print"])
+
+    return run
+
+
+def _wide_links(radius: int):
+    """A mapInArrow function over rows (cell, node, print) sorted by cell; a cell that a batch cuts is carried over whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(list(map(pa.array, link_wide(*rows, radius))), names=["a", "b"])
+
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BITS // 8), np.uint8))
+        for batch in batches:
+            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("cell", "node")]
+            raw = np.frombuffer(b"".join(batch.column("print").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            held = tuple(np.concatenate(x) for x in zip(held, (*new, raw), strict=True))
+            if len(held[0]) >= 1 << 14:
+                cut = int(np.searchsorted(held[0], held[0][-1]))
+                if cut:
+                    yield made(tuple(x[:cut] for x in held))
+                    held = tuple(x[cut:].copy() for x in held)
+        if len(held[0]):
+            yield made(held)
+
+    return run
+
+
+def link_similar(prints: DataFrame, similarity: float = SIMILARITY, found: float = FOUND, cell: int = WIDE_CELL) -> DataFrame:
+    """Links (a, b) between the nodes of distinct wide fingerprints, (node long, print binary), that are similar enough and share a cell of a table."""
+    tables = tables_for(prints.count(), similarity, found)
+    dealt = prints.select("node", "print").mapInArrow(_dealt(tables), "cell long, node long, print binary")
+    big = staged(dealt.groupBy("cell").count().where(F.col("count") > cell).select("cell", F.ceil(F.col("count") / (cell // 2)).cast("int").alias("blocks")), "cells")
+    if not big.isEmpty():
+        # A row of a large cell goes to its block's meetings with every block.
+        spread = dealt.join(big, "cell").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        met = spread.select("node", "print", "cell", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        parted = met.select(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node", "print")
+        dealt = dealt.join(big, "cell", "left_anti").select("cell", "node", "print").unionByName(parted)
+    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_wide_links(allowed(similarity)), "a long, b long")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, size: int = WORDS) -> DataFrame:
+    """(id, th, group): each row's id, its text's hash and the number of its group, the documents reachable by links of that estimated similarity.
+
+    Null and blank texts are alike and so one group; repeated rows share their
+    group; an empty table gives no rows; other columns are not read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "t", 1 << 20):
+                made = wide_fingerprints(texts_of(part, "t"), size)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), pa.array([x.tobytes() for x in made], pa.binary())], names=["id", "th", "print"])
+
+    plain = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"), F.col(f"`{text_col}`").alias("t"))
+    marked = staged(plain.mapInArrow(run, f"id {plain.schema['id'].dataType.simpleString()}, th long, print binary"), "wide")
+    prints = staged(marked.select("print").distinct().withColumn("node", F.monotonically_increasing_id()), "nodes")
+    roots = components(link_similar(prints, similarity))
+    named = prints.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("group"))
+    return marked.join(named, "print").select("id", "th", "group")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, size: int = WORDS) -> DataFrame:
+    """One row of each group of similar documents, that of its smallest id, with all columns as they are.
 
-    Of rows that repeat that id and text one stays. Rows without an id stay
-    only where no row with an id is linked to them, one for each text.
+    Of rows that repeat that id and text one stays; of several texts with that
+    id the first by its hash. Rows without an id stay only where no row with an
+    id is in their group. Null and blank texts are one group.
     """
-    keys = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__t"), F.xxhash64(F.col(f"`{text_col}`")).alias("__th"))
-    marked = near_duplicates(keys, "__id", "__t", "__s", ["__id", "__th"], radius)
-    found = marked.where(F.col("__id").eqNullSafe(F.col("__s.component")))
-    # Several texts may share the smallest id; the first by its hash stays.
-    group = F.when(F.col("__id").isNull(), F.col("__th")).otherwise(F.col("__s.root"))
-    kept = found.groupBy(F.col("__id").alias("__ki"), group.alias("__g")).agg(F.min("__th").alias("__kt")).select("__ki", "__kt")
-    own = docs.withColumns({"__id": F.col(f"`{id_col}`"), "__th": F.xxhash64(F.col(f"`{text_col}`"))})
-    joined = own.join(kept, F.col("__id").eqNullSafe(F.col("__ki")) & F.col("__th").eqNullSafe(F.col("__kt")), "left_semi")
-    return joined.dropDuplicates(["__id", "__th"]).drop("__id", "__th")
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    kept = similar_groups(docs, id_col, text_col, similarity, size).groupBy("group").agg(F.min(first).alias("k")).select(F.col("k.id").alias("__ki"), F.col("k.th").alias("__kt"))
+    key = lambda i, t: F.xxhash64(i, t)  # noqa: E731  one column without nulls, by which the rows are dealt once
+    kept = kept.withColumn("__kk", key("__ki", "__kt"))
+    own = docs.withColumns({"__id": F.col(f"`{id_col}`"), "__th": F.xxhash64(F.col(f"`{text_col}`"))}).withColumn("__k", key("__id", "__th"))
+    joined = own.join(kept, (F.col("__k") == F.col("__kk")) & F.col("__id").eqNullSafe(F.col("__ki")) & (F.col("__th") == F.col("__kt")), "left_semi")
+    return joined.dropDuplicates(["__k", "__id", "__th"]).drop("__k", "__id", "__th")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), pa.array([x.astype("<u4").tobytes() for x in per], pa.binary())], names=["id", "label", "x"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(np.frombuffer(x, "<u4").astype(np.int64), y) for b in batches for x, y in zip(b.column("x").to_pylist(), b.column("label").to_pylist(), strict=True)]
+        rows = [(np.frombuffer(x, "<u4"), y) for b in batches for x, y in zip(b.column("x").to_pylist(), b.column("label").to_pylist(), strict=True)]
         at, w = fit(rows)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w)], names=["at", "w"])
 
