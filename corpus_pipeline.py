@@ -3,7 +3,9 @@
 Each stage takes (spark, docs, sf_dir); docs has the columns of documents, and
 so have the results of all stages but the last, whose rows are the pieces of
 the packed sequences. run() writes each stage's result as Parquet to the shared
-folder and reads it again as the next one's docs.
+folder and reads it again as the next one's docs. Empty tables give empty
+results in every stage; null texts are empty ones, which no stage but the
+near-duplicates' drops; columns besides text pass through as they are.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id."""
+    """One document of each group of near-duplicates, that of the smallest id: SimHash of five-word shingles, linked at an estimated similarity of 0.8. Null and blank texts are one group."""
     return simhash.representatives(docs)
 
 
