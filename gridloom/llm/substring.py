@@ -99,9 +99,10 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"), F.col(f"`{text_col}`").alias("t"), *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True) if c != text_col])
     spans = staged(_spans(rows.select("id", "th", "t").where("t is not null"), several, min_words, alone), "spans")
     # Counts alone are shuffled first; the few spans that repeat are then named and compared.
-    often = spans.groupBy("h", "g").count().where("count > 1").select("h", "g")
+    # Both sides of a join are tables, so that a span that stands in very many documents is split among tasks.
+    often = staged(spans.groupBy("h", "g").count().where("count > 1").select("h", "g"), "often")
     met = staged(spans.join(often, ["h", "g"]), "met")
-    firsts = met.groupBy("h", "g").agg(F.min(F.struct("id", "th", "a")).alias("first"))
+    firsts = staged(met.groupBy("h", "g").agg(F.min(F.struct("id", "th", "a")).alias("first")), "firsts")
     later = met.join(firsts, ["h", "g"]).where(~F.struct("id", "th", "a").eqNullSafe(F.col("first")))
     marks = later.groupBy(F.col("id").alias("mi"), F.col("th").alias("mt")).agg(F.collect_set(F.struct("a", "b")).alias("marks"))
     joined = rows.join(marks, rows.id.eqNullSafe(marks.mi) & (rows.th == marks.mt), "left").drop("id", "th", "mi", "mt")
