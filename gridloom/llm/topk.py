@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import docs_of
+from .common import docs_of, staged
 
 LEVELS = (4, 16)
 ROWS, BLOCK = 4096, 256
@@ -151,6 +151,12 @@ class Best:
                     self.merge(rows[i[good]], names[j[good]], scores[good])
 
 
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query of each pass, from those of all tasks."""
+    order = Window.partitionBy("p", "d", "q").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query among all rows of other ids.
 
@@ -185,9 +191,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), d, np.int64)), pa.array(q), *map(pa.array, (b.ids[q], b.names[q, r], b.scores[q, r]))], names=["d", "q", "query_id", "vec_id", "score"])
 
         own = pick(vectors).mapInArrow(run, "d long, q long, query_id long, vec_id long, score long").withColumn("p", F.lit(p))
+        if passes > 1:  # One pass's queries at a time are held, by the driver and the executors.
+            own = staged(ranked(own, k).drop("rank"), "pass")
+            shared.destroy()
         found = own if found is None else found.unionByName(own)
-    order = Window.partitionBy("p", "d", "q").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return ranked(found, k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
