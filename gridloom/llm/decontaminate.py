@@ -13,13 +13,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, annotate, buffer_of, docs_of, mixed, prefix_sums, span_hashes, spans_of, table_of
+from .common import LOWER, annotate, buffer_of, docs_of, mixed, prefix_sums, span_hashes, spans_of, staged, table_of
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 INSIDE = table_of(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
@@ -137,19 +138,19 @@ def _worker(patterns: dict[bytes, list[str]]):
     return work
 
 
-def _passes(benchmark: DataFrame, id_col: str, text_col: str, size: int, limit: int) -> list[dict[bytes, list[str]]]:
-    """The windows with the items that have them, in groups of at most limit bytes each."""
-    out, room = [defaultdict(list)], limit
+def _passes(benchmark: DataFrame, id_col: str, text_col: str, size: int, limit: int) -> Iterator[dict[bytes, list[str]]]:
+    """The windows with the items that have them, in groups of at most limit bytes each, one group at a time."""
+    out, room = defaultdict(list), limit
     rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("t")).where("t is not null and i is not null")
     for row in rows.toLocalIterator():
         for w in dict.fromkeys(windows_of(bytes(row.t), size)):
             if room < len(w):
-                out.append(defaultdict(list))
-                room = limit
-            if row.i not in out[-1][w]:
-                out[-1][w].append(row.i)
+                yield dict(out)
+                out, room = defaultdict(list), limit
+            if row.i not in out[w]:
+                out[w].append(row.i)
             room -= len(w) + 100
-    return [dict(x) for x in out if x]
+    yield dict(out)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8, out_col: str = "contamination", keep: list[str] | None = None, pass_bytes: int = PASS_BYTES) -> DataFrame:
@@ -159,24 +160,32 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     text or id have no windows; items that share a window are all named;
     an empty benchmark or document table is fine; other columns pass through.
     The benchmark is broadcast in parts of at most pass_bytes, one pass over
-    the words for each part.
+    the words for each part; what a pass finds is written to the shared folder,
+    so driver and executors hold one part at a time.
     """
     keep = docs.columns if keep is None else keep
-    groups = _passes(benchmark, item_col, item_text_col, window, pass_bytes) or [{}]
-    sc = docs.sparkSession.sparkContext
-    cols = []
-    df = docs
-    for i, group in enumerate(groups):
+    if out_col in keep:
+        raise ValueError(f"the input has a column {out_col} already; name another out_col")
+    carried = keep if text_col in keep else [*keep, text_col]
+    sc, df, done = docs.sparkSession.sparkContext, docs, 0
+    groups = _passes(benchmark, item_col, item_text_col, window, pass_bytes)
+    group = next(groups)
+    while group is not None:
+        after = next(groups, None)
         shared = sc.broadcast(group)
-        name = out_col if len(groups) == 1 else f"{out_col}__{i}"
-        more = [] if i == len(groups) - 1 or text_col in keep else [text_col]
-        df = annotate(df, text_col, name, FIELDS, lambda shared=shared: _worker(shared.value), [*keep, *more, *cols])
-        cols.append(name)
-    if len(groups) > 1:
-        union = lambda f: F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(c)[f] for c in cols]))))
-        hits = union("hits")
-        df = df.select(*[F.col(f"`{c}`") for c in keep], F.struct(F.col(cols[0])["n_words"].alias("n_words"), F.size(hits).cast("long").alias("n_hit"), union("items").alias("items"), hits.alias("hits")).alias(out_col))
-    return df
+        work = lambda shared=shared: _worker(shared.value)
+        if not done and after is None:
+            return annotate(df, text_col, out_col, FIELDS, work, keep)
+        made = annotate(df, text_col, "__new", FIELDS, work, [*carried, *(["__old"] if done else [])])
+        if done:
+            union = lambda f: F.array_sort(F.array_union(F.col("__old")[f], F.col("__new")[f]))
+            both = F.struct(F.col("__new")["n_words"].alias("n_words"), F.size(union("hits")).cast("long").alias("n_hit"), union("items").alias("items"), union("hits").alias("hits"))
+        else:
+            both = F.col("__new")
+        df = staged(made.select(*[F.col(f"`{c}`") for c in carried], both.alias("__old")), "pass")
+        shared.destroy()
+        group, done = after, done + 1
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.col("__old").alias(out_col))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
