@@ -87,3 +87,62 @@ def test_word_order_counts(spark):
     kept, mixed = (sum(r.out.score for r in M.score_texts(frame(x), *trained).collect()) for x in (texts[300:], [list(rng.permutation(t)) for t in texts[300:]]))
     # A word has 2 followers of 40: about 0.3 of 1.6 decimal digits a word.
     assert kept > 0.7 * mixed and kept / 6000 > -0.8
+
+
+def test_scores_match_brute_force(spark):
+    texts = corpus()[:150]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    trained = M.train(docs)
+    model, dictionary = trained[0], trained[0].dictionary
+    few = ["", "Ünknown ka.", *texts[:4], " ".join(texts[5].split()[::-1])]
+    got = {r.doc_id: r.out.score for r in M.score_texts(spark.createDataFrame(list(enumerate(few)), "doc_id long, text string"), *trained).collect()}
+
+    def fold(*parts):
+        h = 0
+        for p in parts:
+            h = (h ^ p) * 0x9FB21C651E98DF25 % (1 << 64)
+            h ^= h >> 31
+        return h
+
+    def token(word, cls, one, two):
+        """Log10 probability of one token, a bit at a time."""
+        count, length, code = dictionary.find(M._hashed([word] if word else []))
+        which = 1 if word else 0
+        size, data = (np.array([len(word)]), np.frombuffer(word, np.uint8)) if word else (np.zeros(0, np.int64), np.zeros(0, np.uint8))
+        before = np.array([[one], [two]], np.uint32).view(np.int32)
+        total = 0.0
+        for _, contexts, slots, bits in M.steps(dictionary.letters, size, data, length, code, np.array([which]), np.array([cls]), before):
+            for i, bit in enumerate(bits.tolist()):
+                at = [int(s[i]) for s in slots]
+                rich, other = (int(model.seen[at[k]]) for k in M.deciding(contexts))
+                g = int(M.gate(contexts, rich, other))
+                x = max(-12.0, min(12.0, sum(float(model.weights[g, k]) * int(model.odds[a]) / M.ODDS for k, a in enumerate(at))))
+                level = min(M.LEVELS - 1, max(0, int((x + 8) * M.LEVELS / 16)))
+                p = 0.5 / (1 + math.exp(-x)) + 0.5 * float(model.maps[g * M.LEVELS + level])
+                p = min(1 - 1e-6, max(1e-6, p))
+                total += math.log10(p if bit else 1 - p)
+        return total
+
+    for d, text in enumerate(few):
+        own = [w.encode() for w in words(text)]
+        parts = M.Words([text.encode()])
+        hashes = [int(h) for h in M._hashed(own)] if own else []
+        want = 0.0
+        for i in range(len(own) + 1):
+            one = hashes[i - 1] if i >= 1 else 1
+            two = hashes[i - 2] if i >= 2 else 2
+            want += token(own[i] if i < len(own) else b"", int(parts.cls[i]), fold(one) >> 32, fold(one, two) >> 32)
+        assert math.isclose(got[d], want, rel_tol=2e-4), (d, got[d], want)
+
+
+def test_codes_of_a_context_share_one(spark):
+    texts = corpus()[:150]
+    trained = M.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    model, d = trained[0], trained[0].dictionary
+    n = len(d.hashes)
+    assert n > 20
+    for cls, one in ((0, 5), (M.KINDS + 2, 9)):
+        word = np.arange(1, n + 1)
+        told = model.told(np.ones(n, np.int64), np.zeros(n, np.uint8), np.append(d.end[0], d.length), np.append(d.end[1], d.code), np.append(0, word), np.full(n + 1, cls), np.full((2, n + 1), one, np.int32))
+        # All words of the dictionary and the end; what is left is for spelled words and unused codes.
+        assert 0.2 < (10.0**told).sum() <= 1 + 1e-9

@@ -48,6 +48,31 @@ def test_learns_and_defines_every_case(spark):
     assert Q.score_quality(docs.limit(0), table, net).collect() == []
 
 
+def test_network_matches_brute_force():
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(60, 2 * Q.DIM)), rng.integers(0, 2, 60).astype(float)
+    net = Q.Network(x, y, shift=0.4)
+    z = net.inputs(x)
+
+    def odds(row):
+        w, b, u, c = net.p
+        hidden = [max(0.0, sum(row[i] * w[i, k] for i in range(len(row))) + b[k]) for k in range(Q.HIDDEN)]
+        return sum(h * v for h, v in zip(hidden, u, strict=True)) + c[0]
+
+    want = [1 / (1 + np.exp(-(odds(row) / net.temperature + 0.4))) for row in z[:5]]
+    assert np.allclose(net.score(x[:5]), want)
+    loss = lambda: np.mean([np.logaddexp(0, -odds(r) if t else odds(r)) for r, t in zip(z[:7], y[:7], strict=True)])
+    for k, g in enumerate(net.gradients(z[:7], y[:7])):
+        for at in [tuple(rng.integers(0, n) for n in g.shape) for _ in range(4)]:
+            old = net.p[k][at]
+            net.p[k][at] = old + 1e-5
+            up = loss()
+            net.p[k][at] = old - 1e-5
+            slope = (up - loss()) / 2e-5
+            net.p[k][at] = old
+            assert abs(slope - g[at]) < 1e-6
+
+
 def test_scores_keep_the_prior_of_all_labels(spark):
     rng = np.random.default_rng(5)
     words = [f"w{i}" for i in range(30)]

@@ -1,3 +1,6 @@
+import math
+from collections import defaultdict
+
 import numpy as np
 
 from gridloom.llm import toxicity as X
@@ -49,6 +52,40 @@ def test_learns_and_defines_every_case(spark):
     assert X.score_toxicity(docs.limit(0), none).collect() == []
 
 
+def brute_ftrl(rows, l1, epochs):
+    """FTRL-proximal of one coordinate at a time; the last coordinate is the intercept, without L1."""
+    bias = 1 << X.BITS
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        own = 0.0 if i == bias else l1
+        return 0.0 if abs(z[i]) <= own else -(z[i] - math.copysign(own, z[i])) / ((X.BETA + math.sqrt(n[i])) / X.ALPHA + X.L2)
+
+    for _ in range(epochs):
+        for at, label in rows:
+            w = {i: weight(i) for i in [*at, bias]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for i in w:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / X.ALPHA * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in list(z) if weight(i)}
+
+
+def test_weights_and_scores_match_brute_force():
+    rng = np.random.default_rng(2)
+    texts = [" ".join(str(w) for w in rng.choice(["aa", "bb", "cc", "dd", "longerword", "ff"], 6)) for _ in range(60)]
+    labels = [int("aa bb" in t) for t in texts]
+    per = X.distinct(*X.features([t.encode() for t in texts]), len(texts))
+    rows = [(x.astype("<u4"), y) for x, y in zip(per, labels, strict=True)]
+    at, w = X.fit(rows)
+    rarer = min(sum(labels), len(labels) - sum(labels)) ** 0.5
+    first = brute_ftrl([(x.tolist(), y) for x, y in rows], X.PHASES[0][0] * rarer, X.PHASES[0][1])
+    want = brute_ftrl([([i for i in x.tolist() if i in first], y) for x, y in rows], X.PHASES[1][0] * rarer, X.PHASES[1][1])
+    assert len(want) > 3 and set(at.tolist()) == set(want) and np.allclose(w, [want[i] for i in at.tolist()])
+    score = X._scorer(at, w)([t.encode() for t in texts])[0]
+    assert np.allclose(score, [1 / (1 + math.exp(-want.get(1 << X.BITS, 0.0) - sum(want.get(i, 0.0) for i in x.tolist()))) for x in per])
+
+
 def test_scores_keep_the_prior_of_all_labels(spark):
     texts = ["word"] * 1500
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
