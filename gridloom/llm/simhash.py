@@ -44,7 +44,7 @@ FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Groups of 255 hashes whose bits are added up at once.
 GROUPS = 256
 #: Of the wide fingerprints: bits, words of a shingle, the least similarity of linked documents, the share of links of just that similarity that the tables find.
-BITS, WORDS, SIMILARITY, FOUND = 512, 5, 0.8, 0.97
+BITS, WORDS, SIMILARITY, FOUND = 512, 5, 0.8, 0.99
 #: Mean rows of a cell, and rows of a cell that meet in one task.
 MEAN_CELL, WIDE_CELL = 64, 4096
 
