@@ -62,6 +62,7 @@ FREQUENT = 1 << 20
 #: Least count of a word of the dictionary; what is rarer teaches how words are spelled.
 LEAST = 8
 PRIOR = 0.15
+PRIORS = np.float32(PRIOR)
 RATE = 0.006
 END = b"\n"
 
@@ -149,7 +150,12 @@ def grouped(parts: list[Words], keys: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """The distinct (key, previous words) of the parts' tokens: their keys, previous words, each token's place among them, and their counts."""
     before = np.concatenate([p.before for p in parts], axis=1)
     _, first, back, n = np.unique(_fold(keys, before[0].view(np.uint32), before[1].view(np.uint32)), return_index=True, return_inverse=True, return_counts=True)
-    return keys[first].astype(np.int64), before[:, first], back.astype(np.int32), n
+    # By word, so that neighbours meet the same slots.
+    order = np.argsort(keys[first])
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    first = first[order]
+    return keys[first].astype(np.int64), before[:, first], rank[back], n[order]
 
 
 class Dictionary:
@@ -197,69 +203,89 @@ def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _fold(*parts: np.ndarray | int) -> np.ndarray:
     h = np.uint64(0)
     for p in parts:
-        h = (h ^ np.asarray(p).astype(np.uint64)) * np.uint64(0x9FB21C651E98DF25)
+        h = (h ^ np.atleast_1d(p).astype(np.uint64)) * np.uint64(0x9FB21C651E98DF25)
         h = h ^ (h >> np.uint64(31))
     return h
 
 
-def steps(letters: tuple[np.ndarray, np.ndarray], size: np.ndarray, data: np.ndarray, length: np.ndarray, code: np.ndarray, word: np.ndarray, cls: np.ndarray, before: np.ndarray) -> Iterator[tuple[np.ndarray, tuple[int, ...], list[np.ndarray], np.ndarray]]:
+def _short(*parts: np.ndarray | int) -> np.ndarray:
+    return (_fold(*parts) >> np.uint64(32)).astype(np.uint32)
+
+
+def _place(k: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Slot in table k of a context at a node of a code, both hashes of 32 bits."""
+    h = context ^ node
+    h *= np.uint32(0x9E3779B1)
+    h >>= np.uint32(32 - TABLES[k])
+    out = h.astype(np.int64)
+    out += BASES[k]
+    return out
+
+
+class Spelling:
+    """The bytes of some words, a space after each, and their prefix sums."""
+
+    def __init__(self, size: np.ndarray, data: np.ndarray):
+        self.wide = size + 1
+        self.flat = np.empty(int(self.wide.sum()), np.uint8)
+        self.edges = np.cumsum(self.wide)
+        self.flat[self.edges - 1] = 32
+        inside = np.ones(len(self.flat), bool)
+        inside[self.edges - 1] = False
+        self.flat[inside] = data
+        self.sums = prefix_sums(self.flat)
+
+
+def steps(letters: tuple[np.ndarray, np.ndarray], spelling: Spelling, length: np.ndarray, code: np.ndarray, word: np.ndarray, cls: np.ndarray, before: np.ndarray) -> Iterator[tuple[np.ndarray, tuple[int, ...], list[np.ndarray], np.ndarray]]:
     """The bits of some (word, surroundings, previous words) pairs, many at once: pair, contexts' numbers, slot in each context's table, bit. Word 0 is the end."""
-    place = lambda k, h: ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLES[k])).astype(np.int64) + int(BASES[k])
-    coded = length[word] > 0
-    # Place 0 is the flag, place 1 + i the code's bit i.
-    n = np.where(coded, length[word] + 1, 1)
+    own = length[word]
+    coded = own > 0
+    # Place 0 is the flag, place 1 + i the code's bit i; a one stands before the code.
+    n = own + 1
+    lead = np.where(coded, (np.int64(1) << own) | code[word], 0)
     pair = np.repeat(np.arange(len(word)), n)
-    i = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
-    own, wide = code[word][pair], length[word][pair]
-    node = np.where(i == 0, 0, (1 << np.maximum(i - 1, 0)) | (own >> np.maximum(wide - i + 1, 0)))
-    bit = np.where(i == 0, coded[pair], (own >> np.maximum(wide - i, 0)) & 1).astype(np.int64)
-    a, s = cls[pair] // KINDS, cls[pair] % KINDS
-    node = _fold(node)
-    yield pair, CODE, [place(0, node), place(1, _fold(node, 1 + a)), place(2, _fold(node, 101 + s)), place(3, _fold(node, 201 + cls[pair])), *[place(4 + k, _fold(node, 301 + k, before[k].view(np.uint32)[pair])) for k in (0, 1)]], bit
+    left = np.repeat(np.cumsum(n), n) - np.arange(len(pair))
+    lead = lead[pair]
+    node, bit = _short(lead >> left), (lead >> (left - 1)) & 1
+    a, s = cls // KINDS, cls % KINDS
+    contexts = [_short(np.zeros_like(cls)), _short(1 + a), _short(101 + s), _short(201 + cls), *[_short(np.uint64(301 + k), before[k].view(np.uint32)) for k in (0, 1)]]
+    yield pair, CODE, [_place(k, c[pair], node) for k, c in zip(CODE, contexts, strict=True)], bit
     which = np.flatnonzero(~coded)
     if not len(which):
         return
-    wide = size + 1
-    flat = np.empty(int(wide.sum()), np.uint8)
-    edges = np.cumsum(wide)
-    flat[edges - 1] = 32
-    inside = np.ones(len(flat), bool)
-    inside[edges - 1] = False
-    flat[inside] = data
-    sums = prefix_sums(flat)
     word = word[which] - 1
-    n = wide[word]
+    n = spelling.wide[word]
     pair = np.repeat(which, n)
+    begin = np.repeat(spelling.edges[word] - n, n)
     i = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
-    at = np.repeat(edges[word] - wide[word], n) + i
-    byte = flat[at].astype(np.int64)
-    begin = at - i
-    a, s = cls[pair] // KINDS, cls[pair] % KINDS
-    order = [span_hashes(sums, np.maximum(begin, at - k), at) + (i >= k).astype(np.uint64) for k in (1, 2, 3, 4)]
-    prefix = span_hashes(sums, begin, at)
-    contexts = [_fold(order[0], 1 + a), _fold(order[1], 101 + cls[pair]), _fold(order[2], 301 + s), _fold(order[3], 401), _fold(prefix, 501 + a), _fold(prefix, 601 + cls[pair])]
+    at = begin + i
+    byte = spelling.flat[at]
+    a, s, cls = a[pair], s[pair], cls[pair]
+    order = [span_hashes(spelling.sums, np.maximum(begin, at - k), at) + (i >= k).astype(np.uint64) for k in (1, 2, 3, 4)]
+    prefix = span_hashes(spelling.sums, begin, at)
+    contexts = [_short(order[0], 1 + a), _short(order[1], 101 + cls), _short(order[2], 301 + s), _short(order[3], 401), _short(prefix, 501 + a), _short(prefix, 601 + cls)]
     wide, own = letters[0][byte], letters[1][byte]
     for b in range(int(wide.max())):
         on = np.flatnonzero(wide > b)
         if len(on) < len(wide):
             pair, wide, own, contexts = pair[on], wide[on], own[on], [c[on] for c in contexts]
-        node = ((1 << b) | (own >> (wide - b))).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        yield pair, SPELL, [place(k, c ^ node) for k, c in zip(SPELL, contexts, strict=True)], (own >> (wide - 1 - b)) & 1
+        node = _short((1 << b) | (own >> (wide - b)))
+        yield pair, SPELL, [_place(k, c, node) for k, c in zip(SPELL, contexts, strict=True)], (own >> (wide - 1 - b)) & 1
 
 
-def _pairs(keyed: DataFrame) -> DataFrame:
-    """(word, cls, one, two, n) of the training texts, counted within groups of tokens: one and two are hashes of the previous words."""
+def _met(texts: DataFrame) -> DataFrame:
+    """(word, near, n) of the training texts, counted within groups of tokens; near is the last accented letter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts, _ in _groups(batches):
             _, size, data, numbers = merged(parts)
-            keys = pair_keys(parts, numbers, len(size))
-            keys, before, _, n = grouped(parts, keys)
+            keys = np.concatenate([m[p.word].astype(np.int64) * ACCENTS + p.cls // KINDS for p, m in zip(parts, numbers, strict=True)])
+            keys, n = np.unique(keys, return_counts=True)
             for at in range(0, len(keys), PAIRS):
-                own = slice(at, at + PAIRS)
-                yield _rows(size, data, keys[own] // CLASSES, [pa.array((keys[own] % CLASSES).astype(np.int32)), *map(pa.array, before[:, own]), pa.array(n[own])], ["cls", "one", "two", "n"])
+                own = keys[at : at + PAIRS]
+                yield _rows(size, data, own // ACCENTS, [pa.array((own % ACCENTS).astype(np.int32)), pa.array(n[at : at + PAIRS])], ["near", "n"])
 
-    return keyed.mapInArrow(run, "word binary, cls int, one int, two int, n long")
+    return texts.mapInArrow(run, "word binary, near int, n long")
 
 
 def _rows(size: np.ndarray, data: np.ndarray, word: np.ndarray, more: list[pa.Array], names: list[str]) -> pa.RecordBatch:
@@ -288,16 +314,16 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[Words], li
         yield parts, rows
 
 
-def _unpacked(batch: pa.RecordBatch, dictionary: Dictionary) -> tuple[np.ndarray, ...]:
-    """Size and bytes of the words of a batch of pairs, word numbers (0 for the end), surroundings, previous words, counts, and each word's code length and code."""
-    words = batch.column("word").to_pylist()
-    end = np.array([w == END for w in words])
-    own = [w for w in words if w != END]
-    size = np.array([len(w) for w in own], np.int64)
-    word = np.where(end, 0, np.cumsum(~end))
-    data = np.frombuffer(b"".join(own), np.uint8)
-    _, length, code = dictionary.find(_hashed(own))
-    return size, data, word, batch.column("cls").to_numpy().astype(np.int64), np.stack([batch.column(k).to_numpy() for k in ("one", "two")]), batch.column("n").to_numpy(), length, code
+def _bits(batches: Iterator[pa.RecordBatch], dictionary: Dictionary, some: int) -> Iterator[tuple]:
+    """Of each group of texts, some pairs at a time: their counts and steps()."""
+    for parts, _ in _groups(batches):
+        hashes, size, data, numbers = merged(parts)
+        _, length, code = dictionary.find(hashes)
+        keys, before, _, n = grouped(parts, pair_keys(parts, numbers, len(size)))
+        spelling = Spelling(size, data)
+        for at in range(0, len(keys), some):
+            own = slice(at, at + some)
+            yield n[own], steps(dictionary.letters, spelling, length, code, keys[own] // CLASSES, keys[own] % CLASSES, before[:, own])
 
 
 def _hashed(words: list[bytes]) -> np.ndarray:
@@ -306,18 +332,19 @@ def _hashed(words: list[bytes]) -> np.ndarray:
 
 
 def _counted(shared):
-    """A mapInArrow function that adds up what follows each slot over this task's pairs."""
+    """A mapInArrow function that adds up what follows each slot over this task's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((SLOTS, 2), np.float32)
         flat = counts.reshape(-1)
-        for batch in batches:
-            for at in range(0, batch.num_rows, PAIRS):
-                size, data, word, cls, before, n, length, code = _unpacked(batch.slice(at, PAIRS), shared.value)
-                for pair, _, slots, bit in steps(shared.value.letters, size, data, length, code, word, cls, before):
-                    weight = n[pair].astype(np.float32)
-                    for s in slots:
-                        np.add.at(flat, 2 * s + bit, weight)
+        for n, made in _bits(batches, shared.value, PAIRS):
+            weights = n.astype(np.float32)
+            for pair, _, slots, bit in made:
+                weight = weights.take(pair)
+                for s in slots:
+                    s *= 2
+                    s += bit
+                    np.add.at(flat, s, weight)
         yield _blocks(counts)
 
     return run
@@ -344,11 +371,10 @@ def halved(counts: np.ndarray) -> np.ndarray:
     return np.ceil(counts * np.minimum(1, 60_000 / np.maximum(top, 1))).astype(np.uint16)
 
 
-def context_counts(pairs: DataFrame, shared) -> np.ndarray:
+def context_counts(texts: DataFrame, shared) -> np.ndarray:
     """Zeros and ones that followed each slot, in 16 bits, SLOTS x 2."""
-    shares = pairs.mapInArrow(_counted(shared), "block int, sums binary")
-    some = shares.repartition(F.col("block"), F.pmod(F.spark_partition_id(), F.lit(8))).mapInArrow(_added, "block int, sums binary")
-    found = some.repartition("block").mapInArrow(_added, "block int, sums binary").toArrow()
+    shares = texts.mapInArrow(_counted(shared), "block int, sums binary")
+    found = shares.repartition("block").mapInArrow(_added, "block int, sums binary").toArrow()
     out = np.zeros((SLOTS, 2), np.uint16)
     for k, x in zip(found.column("block").to_pylist(), found.column("sums").to_pylist(), strict=True):
         at = k * BLOCK
@@ -359,12 +385,18 @@ def context_counts(pairs: DataFrame, shared) -> np.ndarray:
 LOGS = np.log(np.arange(1 << 16) + PRIOR).astype(np.float32)
 #: Levels of what a context has seen, and what they mean for the gate.
 SEEN = np.array([0.5, 1.5, 3.5, 8.5, 60.5])
+LEVEL_OF = np.searchsorted(SEEN, np.arange(62)).astype(np.uint8)
 RICH, OTHER = np.array([0, 1, 2, 2, 3, 4]), np.array([0, 0, 0, 1, 1, 2])
 
 
+def evidence(n: np.ndarray) -> np.ndarray:
+    """The level of each count."""
+    return LEVEL_OF.take(n, mode="clip")
+
+
 def gate(contexts: tuple[int, ...], rich: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Number of the weights: five levels of what the richest context has seen by three of another; spelled bits have their own."""
-    return 3 * RICH[rich] + OTHER[other] + (0 if contexts == CODE else GATES // 2)
+    return (3 * RICH + (0 if contexts == CODE else GATES // 2)).take(rich) + OTHER.take(other)
 
 
 def deciding(contexts: tuple[int, ...]) -> tuple[int, int]:
@@ -387,44 +419,48 @@ def start_weights() -> np.ndarray:
 
 
 def _learned(shared):
-    """Online learning over this task's pairs: weights by gate, and the maps' zeros and ones, with the mass behind them."""
+    """Online learning over this task's texts: weights by gate, and the maps' zeros and ones, with the mass behind them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, dictionary = shared.value
         packed = counts.view("<u4").ravel()
         w, speed, mass = start_weights(), np.full((GATES, CONTEXTS), 1e-3), np.zeros(GATES)
         maps = np.zeros((GATES * LEVELS, 2))
-        for batch in batches:
-            for at in range(0, batch.num_rows, STEP):
-                size, data, word, cls, before, n, length, code = _unpacked(batch.slice(at, STEP), dictionary)
-                for pair, contexts, slots, one in steps(dictionary.letters, size, data, length, code, word, cls, before):
-                    weight = n[pair].astype(np.float64)
-                    x, seen, is_one = [], {}, one == 1
-                    for k, slot in enumerate(slots):
-                        both = packed[slot]
-                        # The occurrence itself is left out.
-                        zeros, ones = both & 0xFFFF, both >> 16
-                        zeros -= ~is_one & (zeros > 0)
-                        ones -= is_one & (ones > 0)
-                        x.append(LOGS[ones] - LOGS[zeros])
-                        if k in deciding(contexts):
-                            seen[k] = np.searchsorted(SEEN, zeros + ones)
-                    g = gate(contexts, *[seen[k] for k in deciding(contexts)])
-                    total = np.clip(sum(w[g, k] * x[k] for k in range(len(x))), -12, 12)
-                    wrong = (one - squash(total)) * weight
-                    m = np.bincount(g, weight, GATES)
-                    maps[:, 1] += np.bincount(g * LEVELS + level(total), weight * one, GATES * LEVELS)
-                    maps[:, 0] += np.bincount(g * LEVELS + level(total), weight * (1 - one), GATES * LEVELS)
-                    for k in range(len(x)):
-                        slope = np.bincount(g, wrong * x[k], GATES) / np.maximum(m, 1)
-                        speed[:, k] += slope * slope
-                        w[:, k] += RATE * slope / np.sqrt(speed[:, k])
-                    mass += m
+        for n, made in _bits(batches, dictionary, STEP):
+            for pair, contexts, slots, one in made:
+                weight = n[pair].astype(np.float32)
+                # The occurrence itself is left out; it is among the counts.
+                own = np.where(one == 1, np.uint32(1 << 16), np.uint32(1))
+                x, seen = [], {}
+                for k, slot in enumerate(slots):
+                    both = packed.take(slot)
+                    both -= own
+                    zeros, ones = both & np.uint32(0xFFFF), both >> np.uint32(16)
+                    if k in deciding(contexts):
+                        seen[k] = evidence(zeros + ones)
+                    x.append(np.log((ones.astype(np.float32) + PRIORS) / (zeros.astype(np.float32) + PRIORS)))
+                g = gate(contexts, *[seen[k] for k in deciding(contexts)])
+                narrow = w.T.astype(np.float32)
+                total = sum(narrow[k].take(g) * x[k] for k in range(len(x)))
+                np.clip(total, -12, 12, out=total)
+                wrong = (one - squash(total)) * weight
+                m = np.bincount(g, weight, GATES)
+                place = g * LEVELS + level(total)
+                sums, met = np.bincount(place, weight * one, GATES * LEVELS), np.bincount(place, weight, GATES * LEVELS)
+                maps[:, 1] += sums
+                maps[:, 0] += met - sums
+                for k in range(len(x)):
+                    slope = np.bincount(g, wrong * x[k], GATES) / np.maximum(m, 1)
+                    speed[:, k] += slope * slope
+                    w[:, k] += RATE * slope / np.sqrt(speed[:, k])
+                mass += m
         yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float64).tobytes()]) for x in (w, mass, maps)], names=["w", "mass", "maps"])
 
     return run
 
 
+#: Steps of the log-odds from -12 to 12 in the table of costs.
+FINE = 1 << 15
 #: Log-odds are kept as multiples of its inverse in 8 bits.
 ODDS = 9
 
@@ -438,38 +474,46 @@ class Model:
         for at in range(0, SLOTS, 1 << 20):
             c = counts[at : at + (1 << 20)]
             self.odds[at : at + (1 << 20)] = np.rint(ODDS * (LOGS[c[:, 1]] - LOGS[c[:, 0]]))
-            self.seen[at : at + (1 << 20)] = np.searchsorted(SEEN, c.sum(axis=1, dtype=np.int64))
+            self.seen[at : at + (1 << 20)] = evidence(c.sum(axis=1, dtype=np.int64))
         self.weights = weights
         middle = squash((np.arange(LEVELS) + 0.5) * 16 / LEVELS - 8)
         self.maps = ((maps[:, 1] + 20 * np.tile(middle, GATES)) / (maps.sum(axis=1) + 20)).astype(np.float64)
 
+        # Log10 probabilities of both bits by gate and log-odds, in fine steps.
+        x = (np.arange(FINE) + 0.5) * 24 / FINE - 12
+        self.costs = np.empty((GATES, FINE, 2), np.float32)
+        for g in range(GATES):
+            p = np.clip(0.5 * squash(x) + 0.5 * self.maps[g * LEVELS + level(x)], 1e-6, 1 - 1e-6)
+            self.costs[g] = np.log10(np.stack([1 - p, p], axis=1))
+
     def told(self, size: np.ndarray, data: np.ndarray, length: np.ndarray, code: np.ndarray, word: np.ndarray, cls: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Log10 probability of each (word, surroundings, previous words) pair."""
-        out = np.zeros(len(word))
+        """Log10 probability of each (word, surroundings, previous words) pair, as two summands: of its code or, if it has none, of that; of its spelling."""
+        out = np.zeros((2, len(word)))
         scaled = (self.weights.T / ODDS).astype(np.float32)
+        costs = self.costs.ravel()
+        spelling = Spelling(size, data)
         for at in range(0, len(word), PAIRS):
             own = slice(at, at + PAIRS)
-            used, words = np.unique(np.concatenate([[0], word[own]]), return_inverse=True)
-            n = np.concatenate([[0], size])
-            start = np.cumsum(n) - n
-            few = n[used[1:]]
-            text = data[np.arange(few.sum()) - np.repeat(np.cumsum(few) - few - start[used[1:]], few)]
-            for pair, contexts, slots, one in steps(self.dictionary.letters, few, text, length[used], code[used], words[1:], cls[own], before[:, own]):
-                g = gate(contexts, *[self.seen[slots[k]] for k in deciding(contexts)])
-                total = np.zeros(len(one), np.float32)
+            some = len(word[own])
+            for pair, contexts, slots, one in steps(self.dictionary.letters, spelling, length, code, word[own], cls[own], before[:, own]):
+                g = gate(contexts, *[self.seen.take(slots[k]) for k in deciding(contexts)])
+                total = np.full(len(one), 12, np.float32)
                 for k, slot in enumerate(slots):
-                    total += scaled[k][g] * self.odds[slot]
-                total = np.clip(total, -12, 12)
-                p = np.clip(0.5 * squash(total) + 0.5 * self.maps[g * LEVELS + level(total)], 1e-6, 1 - 1e-6)
-                out[own] += np.bincount(pair, np.log10(np.where(one == 1, p, 1 - p)), len(words) - 1)
+                    total += scaled[k].take(g) * self.odds.take(slot)
+                total *= FINE / 24
+                np.clip(total, 0, FINE - 1, out=total)
+                place = g * FINE + total.astype(np.int64)
+                place *= 2
+                place += one
+                out[int(contexts == SPELL), own] += np.bincount(pair, costs.take(place), some)
         return out
 
 
 def train(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT) -> tuple[Model, DataFrame, tuple[int, int]]:
     """The model of all texts given; the staged (word, n) counts of the words that its dictionary lacks; the numbers of tokens and of distinct tokens."""
     sc = docs.sparkSession.sparkContext
-    pairs = staged(_pairs(docs.select(F.col(f"`{text_col}`").alias("t"))), "pairs")
-    near = pairs.groupBy("word", F.floor(F.col("cls") / KINDS).alias("near")).agg(F.sum("n").alias("n"))
+    texts = docs.select(F.col(f"`{text_col}`").alias("t"))
+    near = _met(texts).repartition("word").groupBy("word", "near").agg(F.sum("n").alias("n"))
     words = staged(near.groupBy("word").agg(F.sum("n").alias("n"), F.max_by("near", F.struct("n", "near")).alias("near")), "words")
     ends, total, distinct = words.agg(F.sum(F.when(F.col("word") == F.lit(END), F.col("n"))), F.sum("n"), F.count("*")).first()
     plain = words.where(F.col("word") != F.lit(END))
@@ -478,9 +522,9 @@ def train(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT) ->
     spelled = plain.where(F.col("n") < least).select("word").mapInArrow(_letters, "sums binary").toArrow()
     letters = sum((np.frombuffer(x, np.int64) for x in spelled.column("sums").to_pylist()), np.zeros(256, np.int64))
     dictionary = Dictionary(_hashed(found.column("word").to_pylist()), found.column("n").to_numpy(), found.column("near").to_numpy(), ends or 0, letters)
-    counts = context_counts(pairs, sc.broadcast(dictionary))
+    counts = context_counts(texts, sc.broadcast(dictionary))
     shared = sc.broadcast((counts, dictionary))
-    found = pairs.mapInArrow(_learned(shared), "w binary, mass binary, maps binary").toArrow()
+    found = texts.mapInArrow(_learned(shared), "w binary, mass binary, maps binary").toArrow()
     get = lambda name, *shape: np.stack([np.frombuffer(x).reshape(shape) for x in found.column(name).to_pylist()] or [np.zeros(shape)])
     mass = get("mass", GATES)
     share = mass / np.maximum(mass.sum(axis=0), 1)
@@ -534,7 +578,7 @@ def score_texts(docs: DataFrame, model: Model, rest: DataFrame, trained: tuple[i
             count, length, code = model.dictionary.find(hashes)
             rare = length == 0
             keys, before, back, _ = grouped(parts, pair_keys(parts, numbers, len(size)))
-            told = model.told(size, data, length, code, keys // CLASSES, keys % CLASSES, before)
+            told = model.told(size, data, length, code, keys // CLASSES, keys % CLASSES, before).sum(axis=0)
             at = 0
             for p, m, own in zip(parts, numbers, rows, strict=True):
                 n = own.num_rows

@@ -111,7 +111,7 @@ def test_scores_match_brute_force(spark):
         size, data = (np.array([len(word)]), np.frombuffer(word, np.uint8)) if word else (np.zeros(0, np.int64), np.zeros(0, np.uint8))
         before = np.array([[one], [two]], np.uint32).view(np.int32)
         total = 0.0
-        for _, contexts, slots, bits in M.steps(dictionary.letters, size, data, length, code, np.array([which]), np.array([cls]), before):
+        for _, contexts, slots, bits in M.steps(dictionary.letters, M.Spelling(size, data), length, code, np.array([which]), np.array([cls]), before):
             for i, bit in enumerate(bits.tolist()):
                 at = [int(s[i]) for s in slots]
                 rich, other = (int(model.seen[at[k]]) for k in M.deciding(contexts))
@@ -143,6 +143,6 @@ def test_codes_of_a_context_share_one(spark):
     assert n > 20
     for cls, one in ((0, 5), (M.KINDS + 2, 9)):
         word = np.arange(1, n + 1)
-        told = model.told(np.ones(n, np.int64), np.zeros(n, np.uint8), np.append(d.end[0], d.length), np.append(d.end[1], d.code), np.append(0, word), np.full(n + 1, cls), np.full((2, n + 1), one, np.int32))
+        told = model.told(np.ones(n, np.int64), np.zeros(n, np.uint8), np.append(d.end[0], d.length), np.append(d.end[1], d.code), np.append(0, word), np.full(n + 1, cls), np.full((2, n + 1), one, np.int32)).sum(axis=0)
         # All words of the dictionary and the end; what is left is for spelled words and unused codes.
         assert 0.2 < (10.0**told).sum() <= 1 + 1e-9
