@@ -468,8 +468,10 @@ ODDS = 9
 class Model:
     """What scoring needs: log-odds and evidence of every slot, weights by gate, maps."""
 
-    def __init__(self, counts: np.ndarray, weights: np.ndarray, maps: np.ndarray, dictionary: Dictionary):
+    def __init__(self, counts: np.ndarray, weights: np.ndarray, maps: np.ndarray, dictionary: Dictionary, rare: int = 0, once: int = 0):
         self.dictionary = dictionary
+        # Tokens of the words that are counted but have no code, and the share of such tokens to come that is known: all but what was met once.
+        self.rare, self.known = rare, 1 - max(once, 1) / max(rare, 1)
         self.odds, self.seen = np.empty(SLOTS, np.int8), np.empty(SLOTS, np.uint8)
         for at in range(0, SLOTS, 1 << 20):
             c = counts[at : at + (1 << 20)]
@@ -530,9 +532,11 @@ def train(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT) ->
     share = mass / np.maximum(mass.sum(axis=0), 1)
     known = mass.sum(axis=0) > 0
     weights = np.where(known[:, None], (get("w", GATES, CONTEXTS) * share[:, :, None]).sum(axis=0), start_weights())
-    model = Model(counts, weights, get("maps", GATES * LEVELS, 2).sum(axis=0), dictionary)
+    rest = plain.where(F.col("n") < least).select("word", "n")
+    rare, once = rest.agg(F.sum("n"), F.count_if(F.col("n") == 1)).first()
+    model = Model(counts, weights, get("maps", GATES * LEVELS, 2).sum(axis=0), dictionary, rare or 0, once)
     shared.unpersist()
-    return model, plain.where(F.col("n") < least).select("word", "n"), (total or 0, distinct)
+    return model, rest, (total or 0, distinct)
 
 
 def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -578,12 +582,13 @@ def score_texts(docs: DataFrame, model: Model, rest: DataFrame, trained: tuple[i
             count, length, code = model.dictionary.find(hashes)
             rare = length == 0
             keys, before, back, _ = grouped(parts, pair_keys(parts, numbers, len(size)))
-            told = model.told(size, data, length, code, keys // CLASSES, keys % CLASSES, before).sum(axis=0)
+            known, spelled = model.told(size, data, length, code, keys // CLASSES, keys % CLASSES, before)
             at = 0
             for p, m, own in zip(parts, numbers, rows, strict=True):
                 n = own.num_rows
                 word = m[p.word]
-                score = np.bincount(p.doc, told[back[at : at + len(word)]], n)
+                pair = back[at : at + len(word)]
+                score = np.bincount(p.doc, np.where(rare[word], 0, known[pair]), n)
                 at += len(word)
                 base = np.bincount(p.doc, np.log10(count[word] + 1), n)
                 seen = np.bincount(p.doc, count[word] > 0, n).astype(np.int64)
@@ -591,23 +596,27 @@ def score_texts(docs: DataFrame, model: Model, rest: DataFrame, trained: tuple[i
                 row += n
                 nothing = pa.nulls(n, pa.binary())
                 yield pa.RecordBatch.from_arrays([*[own.column(k) for k in names], pa.array(np.full(n, part)), pa.array(ids), *map(pa.array, (p.n_tokens, seen, p.n_bytes, base, score)), nothing], names=[*names, "part", "row", "n", "known", "bytes", "base", "score", "word"])
-                # Words that are not broadcast: one row a text and word, for the join.
-                odd = rare[word]
-                if odd.any():
-                    left, tf = np.unique(p.doc[odd].astype(np.int64) * (len(size) + 1) + word[odd], return_counts=True)
-                    which = left % (len(size) + 1)
-                    words_only = _rows(size, data, which, [], [])
+                # Words that are not broadcast: one row a text and pair, for the join.
+                odd = np.flatnonzero(rare[word])
+                if len(odd):
+                    left, first, tf = np.unique(p.doc[odd].astype(np.int64) * len(keys) + pair[odd], return_index=True, return_counts=True)
+                    of, which = left // len(keys), left % len(keys)
+                    words_only = _rows(size, data, word[odd[first]], [], [])
                     k = len(left)
-                    yield pa.RecordBatch.from_arrays([*[pa.nulls(k, own.column(c).type) for c in names], pa.array(np.full(k, part)), pa.array(ids[left // (len(size) + 1)]), pa.array(tf), *[pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())], words_only.column("word")], names=[*names, "part", "row", "n", "known", "bytes", "base", "score", "word"])
+                    yield pa.RecordBatch.from_arrays([*[pa.nulls(k, own.column(c).type) for c in names], pa.array(np.full(k, part)), pa.array(ids[of]), pa.array(tf), *[pa.nulls(k, pa.int64())] * 2, pa.array(known[which]), pa.array(spelled[which]), words_only.column("word")], names=[*names, "part", "row", "n", "known", "bytes", "base", "score", "word"])
 
     head = "".join(f"{n} {plain.schema[n].dataType.simpleString()}, " for n in names)
     made = staged(plain.mapInArrow(run, f"{head}part long, row long, n long, known long, bytes long, base double, score double, word binary"), "scored")
-    rare = made.where("word is not null").select("part", "row", "n", "word").join(rest.withColumnRenamed("n", "c"), "word")
-    more = rare.groupBy("part", "row").agg(F.sum("n").alias("more_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more_base"))
+    rare = made.where("word is not null").select("part", "row", "n", "base", "score", "word").join(rest.withColumnRenamed("n", "c"), "word", "left")
+    # base holds the flag's log10 probability, score that of the spelling.
+    mix = F.lit(1 - model.known) * F.pow(F.lit(10.0), "score") + (F.coalesce("c", F.lit(0)) * F.lit(model.known / max(model.rare, 1)))
+    told = F.col("base") + F.greatest(F.log10(mix), F.col("score") + F.lit(float(np.log10(1 - model.known))))
+    more = rare.groupBy("part", "row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n"))).alias("more_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more_base"), F.sum(F.col("n") * told).alias("more_score"))
     whole = made.where("word is null").join(more, ["part", "row"], "left")
+    score = F.col("score") + F.coalesce("more_score", F.lit(0.0))
     out = F.struct(
         F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.col("bytes").alias("n_bytes"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n") * F.lit(below)).alias("base_score"), F.col("score"), (-F.col("score") * F.lit(float(np.log2(10))) / F.col("bytes")).alias("bits_per_byte"),
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n") * F.lit(below)).alias("base_score"), score.alias("score"), (-score * F.lit(float(np.log2(10))) / F.col("bytes")).alias("bits_per_byte"),
     )
     return whole.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], out.alias("out"))
 

@@ -94,7 +94,11 @@ def test_scores_match_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     trained = M.train(docs)
     model, dictionary = trained[0], trained[0].dictionary
-    few = ["", "Ünknown ka.", *texts[:4], " ".join(texts[5].split()[::-1])]
+    count = Counter(w.encode() for t in texts for w in words(t))
+    rare = {w: n for w, n in count.items() if n < M.LEAST}
+    assert {bytes(r.word): r.n for r in trained[1].collect()} == rare and 1 in rare.values()
+    new = list(rare.values()).count(1) / sum(rare.values())
+    few = ["", "Ünknown ka.", "y" * 700, *texts[:4], " ".join(texts[5].split()[::-1])]
     got = {r.doc_id: r.out.score for r in M.score_texts(spark.createDataFrame(list(enumerate(few)), "doc_id long, text string"), *trained).collect()}
 
     def fold(*parts):
@@ -110,7 +114,7 @@ def test_scores_match_brute_force(spark):
         which = 1 if word else 0
         size, data = (np.array([len(word)]), np.frombuffer(word, np.uint8)) if word else (np.zeros(0, np.int64), np.zeros(0, np.uint8))
         before = np.array([[one], [two]], np.uint32).view(np.int32)
-        total = 0.0
+        told = {M.CODE: 0.0, M.SPELL: 0.0}
         for _, contexts, slots, bits in M.steps(dictionary.letters, M.Spelling(size, data), length, code, np.array([which]), np.array([cls]), before):
             for i, bit in enumerate(bits.tolist()):
                 at = [int(s[i]) for s in slots]
@@ -120,8 +124,14 @@ def test_scores_match_brute_force(spark):
                 level = min(M.LEVELS - 1, max(0, int((x + 8) * M.LEVELS / 16)))
                 p = 0.5 / (1 + math.exp(-x)) + 0.5 * float(model.maps[g * M.LEVELS + level])
                 p = min(1 - 1e-6, max(1e-6, p))
-                total += math.log10(p if bit else 1 - p)
-        return total
+                told[contexts] += math.log10(p if bit else 1 - p)
+        if length[which]:
+            assert word not in rare
+            return told[M.CODE]
+        # What is left: with the share of words met once, the spelling; else one of the counted words.
+        if word not in rare:
+            return told[M.CODE] + told[M.SPELL] + math.log10(new)
+        return told[M.CODE] + math.log10(new * 10 ** told[M.SPELL] + (1 - new) * rare[word] / sum(rare.values()))
 
     for d, text in enumerate(few):
         own = [w.encode() for w in words(text)]
