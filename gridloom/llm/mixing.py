@@ -27,7 +27,6 @@ are broadcast, which bounds its size; all others are joined.
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -350,19 +349,33 @@ def _counted(shared):
     return run
 
 
+def _packed(counts: np.ndarray, kind: str) -> bytes:
+    """Counts as integers of a kind, the bytes of equal weight together, compressed."""
+    wide = np.ascontiguousarray(counts.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T)
+    return pa.compress(wide, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    flat = np.frombuffer(pa.decompress(data, decompressed_size=2 * BLOCK * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(size, -1).T).view(kind).ravel()
+
+
 def _blocks(counts: np.ndarray) -> pa.RecordBatch:
     shaped = counts.reshape(-1, 2 * BLOCK)
     some = [i for i in range(len(shaped)) if shaped[i].any()]
-    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([zlib.compress(shaped[i].astype(np.float32).tobytes(), 1) for i in some], pa.binary())], names=["block", "sums"])
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([_packed(shaped[i], "<u4") for i in some], pa.binary())], names=["block", "sums"])
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, x in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-            sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(x), np.float32).astype(np.float64)
+            if k not in sums:
+                sums[k] = np.zeros(2 * BLOCK)
+            sums[k] += _unpacked(x, "<u4")
     for k, x in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(x.astype(np.float32).tobytes(), 1)], pa.binary())], names=["block", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_packed(halved(x.reshape(-1, 2)).ravel(), "<u2")], pa.binary())], names=["block", "sums"])
 
 
 def halved(counts: np.ndarray) -> np.ndarray:
@@ -378,7 +391,7 @@ def context_counts(texts: DataFrame, shared) -> np.ndarray:
     out = np.zeros((SLOTS, 2), np.uint16)
     for k, x in zip(found.column("block").to_pylist(), found.column("sums").to_pylist(), strict=True):
         at = k * BLOCK
-        out[at : at + BLOCK] = halved(np.frombuffer(zlib.decompress(x), np.float32).reshape(-1, 2))[: SLOTS - at]
+        out[at : at + BLOCK] = _unpacked(x, "<u2").reshape(-1, 2)[: SLOTS - at]
     return out
 
 
