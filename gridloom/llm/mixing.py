@@ -313,15 +313,16 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[Words], li
         yield parts, rows
 
 
-def _bits(batches: Iterator[pa.RecordBatch], dictionary: Dictionary, some: int) -> Iterator[tuple]:
-    """Of each group of texts, some pairs at a time: their counts and steps()."""
+def _bits(batches: Iterator[pa.RecordBatch], dictionary: Dictionary, some: int, spread: bool = False) -> Iterator[tuple]:
+    """Of each group of texts, some pairs at a time, neighbours or spread over all words: their counts and steps()."""
     for parts, _ in _groups(batches):
         hashes, size, data, numbers = merged(parts)
         _, length, code = dictionary.find(hashes)
         keys, before, _, n = grouped(parts, pair_keys(parts, numbers, len(size)))
         spelling = Spelling(size, data)
-        for at in range(0, len(keys), some):
-            own = slice(at, at + some)
+        parts = -(-len(keys) // some)
+        for i in range(parts):
+            own = slice(i, None, parts) if spread else slice(i * some, (i + 1) * some)
             yield n[own], steps(dictionary.letters, spelling, length, code, keys[own] // CLASSES, keys[own] % CLASSES, before[:, own])
 
 
@@ -439,7 +440,7 @@ def _learned(shared):
         packed = counts.view("<u4").ravel()
         w, speed, mass = start_weights(), np.full((GATES, CONTEXTS), 1e-3), np.zeros(GATES)
         maps = np.zeros((GATES * LEVELS, 2))
-        for n, made in _bits(batches, dictionary, STEP):
+        for n, made in _bits(batches, dictionary, STEP, spread=True):
             for pair, contexts, slots, one in made:
                 weight = n[pair].astype(np.float32)
                 # The occurrence itself is left out; it is among the counts.
