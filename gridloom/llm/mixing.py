@@ -11,7 +11,8 @@ for spelled words the last one to four bytes and the word so far, partly with
 the surroundings. A context's count
 of zeros and ones gives a log-odds; the log-odds are added under weights that a
 gate chooses by how much two of the contexts have seen, and adaptive maps
-refine the sum. The probabilities of all bits multiply to the text's.
+refine the sum. The probabilities of a token's bits multiply
+to its own.
 
 Counts come from all training texts: each task counts (word, surroundings,
 previous words) within groups of tokens, each of these pairs updates the
@@ -21,7 +22,9 @@ with one occurrence of it left out of the counts. Scores of pairs are computed
 once for the texts of a group.
 
 The base score needs the exact count of every word: words of the dictionary
-are broadcast, which bounds its size; all others are joined.
+are broadcast, which bounds its size; all others are joined. Their counts also
+join in the score: a spelled word's probability is its spelling's, by the share
+of such tokens that were met once, and else its share of the counted ones.
 """
 
 from __future__ import annotations
