@@ -2,7 +2,7 @@
 
 A text is a row of tokens: words, lower-cased, and one end. A token is coded in
 bits. The first tells whether it is in the dictionary, the most frequent words
-of the training texts; if so, the bits of its Shannon-Fano-Elias code follow,
+of the training texts; if so, the bits of its code, by halving, follow,
 in an order that keeps words of like surroundings together; if not, the Huffman
 codes of its bytes and a space. Hashed contexts predict each bit: for the dictionary the place in
 the code, alone, with the surroundings (the last accented letter's byte, the
@@ -15,11 +15,12 @@ refine the sum. The probabilities of a token's bits multiply
 to its own.
 
 Counts come from all training texts: each task counts (word, surroundings,
-previous words) within groups of tokens, each of these pairs updates the
-contexts' tables once with its count, and the tables, of fixed size, are
-broadcast. Weights and maps are learned online over the same pairs, each seen
-with one occurrence of it left out of the counts. Scores of pairs are computed
-once for the texts of a group.
+previous words) within groups of tokens, and each of these pairs updates the
+task's tables once with its count. Weights and maps are learned online in the
+same pass, from the task's counts so far with one occurrence of the pair left
+out. The tasks' tables are added up, their weights averaged by mass; the tables,
+of fixed size, are broadcast. Scores of pairs are computed once for the texts of
+a group.
 
 The base score needs the exact count of every word: words of the dictionary
 are broadcast, which bounds its size; all others are joined. Their counts also
@@ -49,6 +50,10 @@ SLOTS = int(BASES[-1])
 CODE, SPELL = (0, 1, 2, 3, 4, 5), (6, 7, 8, 9, 10, 11)
 CONTEXTS = len(CODE)
 BLOCK = 1 << 14
+#: The block that holds what a task has learned besides counts.
+LEARNED = -1
+#: Bits of a code whose slots share a line of memory.
+LINE = 4
 ACCENTS, KINDS, RECENT = 18, 9, 12
 CLASSES = ACCENTS * KINDS
 GATES = 30
@@ -167,10 +172,7 @@ class Dictionary:
         self.letters = huffman(letters)
         every = np.concatenate([[max(1, ends)], counts]).astype(np.float64)
         order = np.lexsort((np.concatenate([[0], hashes]), -every, np.concatenate([[-1], near])))
-        total = every.sum()
-        middle = (np.cumsum(every[order]) - every[order] / 2) / total
-        length = np.ceil(np.log2(total / every[order])).astype(np.int64) + 1
-        code = np.floor(middle * np.exp2(length)).astype(np.int64)
+        length, code = halving(every[order])
         back = np.argsort(order)
         length, code = length[back], code[back]
         self.end = (length[0], code[0], max(1, ends) if ends else 0)
@@ -189,6 +191,33 @@ class Dictionary:
         return tuple(np.concatenate([[e], x]) for e, x in zip((self.end[2], self.end[0], self.end[1]), found, strict=True))
 
 
+def halving(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Length and code of each count by splits into two runs, as equal in their sums as can be; the order of the codes is that of the counts. A single count has one bit."""
+    length, code = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+    if len(counts) == 1:
+        return length + 1, code
+    sums = np.concatenate([[0], np.cumsum(counts)])
+    low, high = np.array([0]), np.array([len(counts)])
+    while len(low):
+        half = (sums[low] + sums[high]) / 2
+        cut = np.searchsorted(sums, half)
+        cut -= half - sums[np.maximum(cut - 1, 0)] < sums[np.minimum(cut, len(counts))] - half
+        cut = np.clip(cut, low + 1, high - 1)
+        inside = np.zeros(len(counts) + 1, np.int64)
+        np.add.at(inside, low, 1)
+        np.add.at(inside, high, -1)
+        inside = np.cumsum(inside)[:-1]
+        right = np.zeros(len(counts) + 1, np.int64)
+        np.add.at(right, cut, 1)
+        np.add.at(right, high, -1)
+        length += inside
+        code = (code << inside) | np.cumsum(right)[:-1]
+        low, high = np.concatenate([low, cut]), np.concatenate([cut, high])
+        more = high - low > 1
+        low, high = low[more], high[more]
+    return length, code
+
+
 def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Length and code of each byte by its count; bytes never met count as one."""
     heap = [(int(c) + 1, b, (b,)) for b, c in enumerate(counts)]
@@ -215,7 +244,7 @@ def _short(*parts: np.ndarray | int) -> np.ndarray:
 
 
 def _place(k: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Slot in table k of a context at a node of a code, both hashes of 32 bits."""
+    """Slot in table k of a context at a node of a code, both hashes of 32 bits. The nodes of the LINE bits that begin there differ from it in the last LINE bits only: they are met in one line of memory."""
     h = context ^ node
     h *= np.uint32(0x9E3779B1)
     h >>= np.uint32(32 - TABLES[k])
@@ -245,13 +274,26 @@ def steps(letters: tuple[np.ndarray, np.ndarray], spelling: Spelling, length: np
     # Place 0 is the flag, place 1 + i the code's bit i; a one stands before the code.
     n = own + 1
     lead = np.where(coded, (np.int64(1) << own) | code[word], 0)
-    pair = np.repeat(np.arange(len(word)), n)
-    left = np.repeat(np.cumsum(n), n) - np.arange(len(pair))
-    lead = lead[pair]
-    node, bit = _short(lead >> left), (lead >> (left - 1)) & 1
+    # Runs of LINE bits: their pair, and how many bits are left from a run's first on.
+    runs = -(-n // LINE)
+    pair = np.repeat(np.arange(len(word)), runs)
+    top = picked(n, pair) - LINE * (np.arange(len(pair)) - np.repeat(np.cumsum(runs) - runs, runs))
     a, s = cls // KINDS, cls % KINDS
     contexts = [_short(np.zeros_like(cls)), _short(1 + a), _short(101 + s), _short(201 + cls), *[_short(np.uint64(301 + k), before[k].view(np.uint32)) for k in (0, 1)]]
-    yield pair, CODE, [_place(k, c[pair], node) for k, c in zip(CODE, contexts, strict=True)], bit
+    lead = picked(lead, pair)
+    node = _short(lead >> top)
+    lines = [_place(k, picked(c, pair), node) for k, c in zip(CODE, contexts, strict=True)]
+    wide = np.minimum(top, LINE)
+    run = np.repeat(np.arange(len(pair)), wide)
+    i = np.arange(len(run)) - np.repeat(np.cumsum(wide) - wide, wide)
+    left = picked(top, run) - i
+    lead = picked(lead, run)
+    bit = (lead >> (left - 1)) & 1
+    lead >>= left
+    one = np.int64(1) << i
+    lead &= one - 1
+    lead |= one
+    yield picked(pair, run), CODE, [picked(line, run) ^ lead for line in lines], bit
     which = np.flatnonzero(~coded)
     if not len(which):
         return
@@ -261,18 +303,23 @@ def steps(letters: tuple[np.ndarray, np.ndarray], spelling: Spelling, length: np
     begin = np.repeat(spelling.edges[word] - n, n)
     i = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
     at = begin + i
-    byte = spelling.flat[at]
-    a, s, cls = a[pair], s[pair], cls[pair]
+    byte = picked(spelling.flat, at)
+    a, s, cls = picked(a, pair), picked(s, pair), picked(cls, pair)
     order = [span_hashes(spelling.sums, np.maximum(begin, at - k), at) + (i >= k).astype(np.uint64) for k in (1, 2, 3, 4)]
     prefix = span_hashes(spelling.sums, begin, at)
     contexts = [_short(order[0], 1 + a), _short(order[1], 101 + cls), _short(order[2], 301 + s), _short(order[3], 401), _short(prefix, 501 + a), _short(prefix, 601 + cls)]
-    wide, own = letters[0][byte], letters[1][byte]
+    wide, own = picked(letters[0], byte), picked(letters[1], byte)
+    place, lines = np.arange(len(pair)), []
     for b in range(int(wide.max())):
-        on = np.flatnonzero(wide > b)
+        on, i = np.flatnonzero(wide > b), b % LINE
         if len(on) < len(wide):
-            pair, wide, own, contexts = pair[on], wide[on], own[on], [c[on] for c in contexts]
-        node = _short((1 << b) | (own >> (wide - b)))
-        yield pair, SPELL, [_place(k, c, node) for k, c in zip(SPELL, contexts, strict=True)], (own >> (wide - 1 - b)) & 1
+            pair, wide, own, place = picked(pair, on), picked(wide, on), picked(own, on), picked(place, on)
+            lines = [picked(line, on) for line in lines] if i else []
+        node = (1 << b) | (own >> (wide - b))
+        if not i:
+            lines = [_place(k, picked(c, place), _short(node)) for k, c in zip(SPELL, contexts, strict=True)]
+        node = (1 << i) | (node & ((1 << i) - 1))
+        yield pair, SPELL, [line ^ node for line in lines], (own >> (wide - 1 - b)) & 1
 
 
 def _met(texts: DataFrame) -> DataFrame:
@@ -316,8 +363,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[Words], li
         yield parts, rows
 
 
-def _bits(batches: Iterator[pa.RecordBatch], dictionary: Dictionary, some: int, spread: bool = False) -> Iterator[tuple]:
-    """Of each group of texts, some pairs at a time, neighbours or spread over all words: their counts and steps()."""
+def _bits(batches: Iterator[pa.RecordBatch], dictionary: Dictionary, some: int) -> Iterator[tuple]:
+    """Of each group of texts, some pairs at a time, spread over all words: their counts and steps()."""
     for parts, _ in _groups(batches):
         hashes, size, data, numbers = merged(parts)
         _, length, code = dictionary.find(hashes)
@@ -325,7 +372,7 @@ def _bits(batches: Iterator[pa.RecordBatch], dictionary: Dictionary, some: int,
         spelling = Spelling(size, data)
         parts = -(-len(keys) // some)
         for i in range(parts):
-            own = slice(i, None, parts) if spread else slice(i * some, (i + 1) * some)
+            own = slice(i, None, parts)
             yield n[own], steps(dictionary.letters, spelling, length, code, keys[own] // CLASSES, keys[own] % CLASSES, before[:, own])
 
 
@@ -334,25 +381,6 @@ def _hashed(words: list[bytes]) -> np.ndarray:
     return span_hashes(prefix_sums(buf), bounds[:-1], bounds[1:] - 1)
 
 
-def _counted(shared):
-    """A mapInArrow function that adds up what follows each slot over this task's texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((SLOTS, 2), np.float32)
-        flat = counts.reshape(-1)
-        for n, made in _bits(batches, shared.value, PAIRS):
-            weights = n.astype(np.float32)
-            for pair, _, slots, bit in made:
-                weight = weights.take(pair)
-                for s in slots:
-                    s *= 2
-                    s += bit
-                    np.add.at(flat, s, weight)
-        yield _blocks(counts)
-
-    return run
-
-
 def _packed(counts: np.ndarray, kind: str) -> bytes:
     """Counts as integers of a kind, the bytes of equal weight together, compressed."""
     wide = np.ascontiguousarray(counts.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T)
@@ -375,11 +403,13 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, x in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+            x = np.frombuffer(x) if k == LEARNED else _unpacked(x, "<u4")
             if k not in sums:
-                sums[k] = np.zeros(2 * BLOCK)
-            sums[k] += _unpacked(x, "<u4")
+                sums[k] = np.zeros(len(x))
+            sums[k] += x
     for k, x in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_packed(halved(x.reshape(-1, 2)).ravel(), "<u2")], pa.binary())], names=["block", "sums"])
+        out = x.tobytes() if k == LEARNED else _packed(halved(x.reshape(-1, 2)).ravel(), "<u2")
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([out], pa.binary())], names=["block", "sums"])
 
 
 def halved(counts: np.ndarray) -> np.ndarray:
@@ -388,15 +418,20 @@ def halved(counts: np.ndarray) -> np.ndarray:
     return np.ceil(counts * np.minimum(1, 60_000 / np.maximum(top, 1))).astype(np.uint16)
 
 
-def context_counts(texts: DataFrame, shared) -> np.ndarray:
-    """Zeros and ones that followed each slot, in 16 bits, SLOTS x 2."""
-    shares = texts.mapInArrow(_counted(shared), "block int, sums binary")
+def mixed_counts(texts: DataFrame, shared) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Zeros and ones that followed each slot, in 16 bits, SLOTS x 2; the tasks' mean weights by gate; the maps' zeros and ones."""
+    shares = texts.mapInArrow(_mixed(shared), "block int, sums binary")
     found = shares.repartition("block").mapInArrow(_added, "block int, sums binary").toArrow()
-    out = np.zeros((SLOTS, 2), np.uint16)
+    out, learned = np.zeros((SLOTS, 2), np.uint16), np.zeros(GATES * (CONTEXTS + 1 + 2 * LEVELS))
     for k, x in zip(found.column("block").to_pylist(), found.column("sums").to_pylist(), strict=True):
-        at = k * BLOCK
-        out[at : at + BLOCK] = _unpacked(x, "<u2").reshape(-1, 2)[: SLOTS - at]
-    return out
+        if k == LEARNED:
+            learned = np.frombuffer(x)
+        else:
+            at = k * BLOCK
+            out[at : at + BLOCK] = _unpacked(x, "<u2").reshape(-1, 2)[: SLOTS - at]
+    weights, mass, maps = np.split(learned, np.cumsum([GATES * CONTEXTS, GATES]))
+    weights = np.where(mass[:, None] > 0, weights.reshape(GATES, CONTEXTS) / np.maximum(mass, 1)[:, None], start_weights())
+    return out, weights, maps.reshape(-1, 2)
 
 
 LOGS = np.log(np.arange(1 << 16) + PRIOR).astype(np.float32)
@@ -413,7 +448,9 @@ def evidence(n: np.ndarray) -> np.ndarray:
 
 def gate(contexts: tuple[int, ...], rich: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Number of the weights: five levels of what the richest context has seen by three of another; spelled bits have their own."""
-    return (3 * RICH + (0 if contexts == CODE else GATES // 2)).take(rich) + OTHER.take(other)
+    out = picked(3 * RICH + (0 if contexts == CODE else GATES // 2), rich)
+    out += picked(OTHER, other)
+    return out
 
 
 def deciding(contexts: tuple[int, ...]) -> tuple[int, int]:
@@ -421,6 +458,11 @@ def deciding(contexts: tuple[int, ...]) -> tuple[int, int]:
     return (5, 4) if contexts == CODE else (4, 1)
 
 
+def picked(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """values[at] of places that are known to be inside; numpy checks them fastest so."""
+    return values.take(at, mode="clip")
+
+
 def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -435,49 +477,68 @@ def start_weights() -> np.ndarray:
     return w
 
 
-def _learned(shared):
-    """Online learning over this task's texts: weights by gate, and the maps' zeros and ones, with the mass behind them."""
+def _mixed(shared):
+    """A mapInArrow function that reads this task's texts once: what follows each slot is counted, and weights and maps learn online from the counts so far.
+
+    Gives the counts' blocks and, as block LEARNED, the weights by gate, times the mass behind them, the mass, and the maps' zeros and ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, dictionary = shared.value
-        packed = counts.view("<u4").ravel()
+        counts = np.zeros((SLOTS, 2), np.float32)
+        flat, both = counts.reshape(-1), counts.view(np.uint64).ravel()
         w, speed, mass = start_weights(), np.full((GATES, CONTEXTS), 1e-3), np.zeros(GATES)
         maps = np.zeros((GATES * LEVELS, 2))
-        for n, made in _bits(batches, dictionary, STEP, spread=True):
+        half = GATES // 2
+        unit = np.eye(half, dtype=np.float32)
+        for n, made in _bits(batches, shared.value, STEP):
+            n = n.astype(np.float32)
             for pair, contexts, slots, one in made:
-                weight = n[pair].astype(np.float32)
-                # The occurrence itself is left out; it is among the counts.
-                own = np.where(one == 1, np.uint32(1 << 16), np.uint32(1))
-                x, seen = [], {}
+                weight, told = picked(n, pair), one.astype(np.float32)
+                # One occurrence itself is left out; it is among the counts.
+                less = (PRIORS - 1 + told, PRIORS - told)
+                x, seen = np.empty((CONTEXTS, len(one)), np.float32), {}
                 for k, slot in enumerate(slots):
-                    both = packed.take(slot)
-                    both -= own
-                    zeros, ones = both & np.uint32(0xFFFF), both >> np.uint32(16)
+                    np.add.at(flat, 2 * slot + one, weight)
+                    met = picked(both, slot).view(np.float32).reshape(-1, 2)
+                    np.add(met[:, 1], less[1], out=x[k])
+                    x[k] /= met[:, 0] + less[0]
                     if k in deciding(contexts):
-                        seen[k] = evidence(zeros + ones)
-                    x.append(np.log((ones.astype(np.float32) + PRIORS) / (zeros.astype(np.float32) + PRIORS)))
+                        seen[k] = evidence((met[:, 0] + met[:, 1]).astype(np.int64) - 1)
+                np.log(x, out=x)
+                first = 0 if contexts == CODE else half
                 g = gate(contexts, *[seen[k] for k in deciding(contexts)])
-                narrow = w.T.astype(np.float32)
-                total = sum(narrow[k].take(g) * x[k] for k in range(len(x)))
+                g -= first
+                narrow = w[first : first + half].T.astype(np.float32)
+                total = picked(narrow[0], g)
+                total *= x[0]
+                for k in range(1, CONTEXTS):
+                    part = picked(narrow[k], g)
+                    part *= x[k]
+                    total += part
                 np.clip(total, -12, 12, out=total)
-                wrong = (one - squash(total)) * weight
-                m = np.bincount(g, weight, GATES)
-                place = g * LEVELS + level(total)
-                sums, met = np.bincount(place, weight * one, GATES * LEVELS), np.bincount(place, weight, GATES * LEVELS)
-                maps[:, 1] += sums
-                maps[:, 0] += met - sums
-                for k in range(len(x)):
-                    slope = np.bincount(g, wrong * x[k], GATES) / np.maximum(m, 1)
-                    speed[:, k] += slope * slope
-                    w[:, k] += RATE * slope / np.sqrt(speed[:, k])
-                mass += m
-        yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float64).tobytes()]) for x in (w, mass, maps)], names=["w", "mass", "maps"])
+                place = level(total)
+                place += g * LEVELS
+                place *= 2
+                place += one
+                found = np.bincount(place, weight, half * LEVELS * 2).reshape(-1, 2)
+                maps[first * LEVELS : (first + half) * LEVELS] += found
+                m = found.reshape(half, -1).sum(axis=1)
+                told -= squash(total)
+                told *= weight
+                x *= told
+                slope = (x @ unit.take(g, axis=0)).T / np.maximum(m, 1)[:, None]
+                speed[first : first + half] += slope * slope
+                w[first : first + half] += RATE * slope / np.sqrt(speed[first : first + half])
+                mass[first : first + half] += m
+        yield _blocks(counts)
+        learned = np.concatenate([(w * mass[:, None]).ravel(), mass, maps.ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array([LEARNED], pa.int32()), pa.array([learned.tobytes()], pa.binary())], names=["block", "sums"])
 
     return run
 
 
-#: Steps of the log-odds from -12 to 12 in the table of costs.
-FINE = 1 << 15
+#: Steps of the log-odds from -12 to 12 in the table of costs; no step reaches over two of the maps' levels, which are a half wide.
+FINE = 48 * 680
 #: Log-odds are kept as multiples of its inverse in 8 bits.
 ODDS = 9
 
@@ -515,16 +576,18 @@ class Model:
             own = slice(at, at + PAIRS)
             some = len(word[own])
             for pair, contexts, slots, one in steps(self.dictionary.letters, spelling, length, code, word[own], cls[own], before[:, own]):
-                g = gate(contexts, *[self.seen.take(slots[k]) for k in deciding(contexts)])
+                g = gate(contexts, *[picked(self.seen, slots[k]) for k in deciding(contexts)])
                 total = np.full(len(one), 12, np.float32)
                 for k, slot in enumerate(slots):
-                    total += scaled[k].take(g) * self.odds.take(slot)
+                    part = picked(scaled[k], g)
+                    part *= picked(self.odds, slot)
+                    total += part
                 total *= FINE / 24
                 np.clip(total, 0, FINE - 1, out=total)
                 place = g * FINE + total.astype(np.int64)
                 place *= 2
                 place += one
-                out[int(contexts == SPELL), own] += np.bincount(pair, costs.take(place), some)
+                out[int(contexts == SPELL), own] += np.bincount(pair, picked(costs, place), some)
         return out
 
 
@@ -541,17 +604,11 @@ def train(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT) ->
     spelled = plain.where(F.col("n") < least).select("word").mapInArrow(_letters, "sums binary").toArrow()
     letters = sum((np.frombuffer(x, np.int64) for x in spelled.column("sums").to_pylist()), np.zeros(256, np.int64))
     dictionary = Dictionary(_hashed(found.column("word").to_pylist()), found.column("n").to_numpy(), found.column("near").to_numpy(), ends or 0, letters)
-    counts = context_counts(texts, sc.broadcast(dictionary))
-    shared = sc.broadcast((counts, dictionary))
-    found = texts.mapInArrow(_learned(shared), "w binary, mass binary, maps binary").toArrow()
-    get = lambda name, *shape: np.stack([np.frombuffer(x).reshape(shape) for x in found.column(name).to_pylist()] or [np.zeros(shape)])
-    mass = get("mass", GATES)
-    share = mass / np.maximum(mass.sum(axis=0), 1)
-    known = mass.sum(axis=0) > 0
-    weights = np.where(known[:, None], (get("w", GATES, CONTEXTS) * share[:, :, None]).sum(axis=0), start_weights())
+    shared = sc.broadcast(dictionary)
+    counts, weights, maps = mixed_counts(texts, shared)
     rest = plain.where(F.col("n") < least).select("word", "n")
     rare, once = rest.agg(F.sum("n"), F.count_if(F.col("n") == 1)).first()
-    model = Model(counts, weights, get("maps", GATES * LEVELS, 2).sum(axis=0), dictionary, rare or 0, once)
+    model = Model(counts, weights, maps, dictionary, rare or 0, once)
     shared.unpersist()
     return model, rest, (total or 0, distinct)
 
