@@ -136,7 +136,12 @@ def merged(parts: list[Words]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list
     sizes, flat = np.concatenate([p.size for p in parts]), np.concatenate([p.bytes for p in parts])
     at = (np.cumsum(sizes) - sizes)[first]
     size = sizes[first]
-    data = flat[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - at, size)]
+    ends = np.cumsum(size)
+    data = np.empty(int(size.sum()), np.uint8)
+    for some in range(0, len(size), PAIRS):
+        own = slice(some, some + PAIRS)
+        low, high = ends[some] - size[some], ends[own][-1]
+        data[low:high] = flat[np.arange(low, high) - np.repeat(ends[own] - size[own] - at[own], size[own])]
     edges = np.cumsum([0, *[len(p.hashes) for p in parts]])
     return hashes, size, data, [np.concatenate([[0], back[a:b] + 1]).astype(np.int32) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
@@ -153,16 +158,29 @@ def pair_keys(parts: list[Words], numbers: list[np.ndarray], words: int) -> np.n
     return out
 
 
-def grouped(parts: list[Words], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct (key, previous words) of the parts' tokens: their keys, previous words, each token's place among them, and their counts."""
-    before = np.concatenate([p.before for p in parts], axis=1)
-    _, first, back, n = np.unique(_fold(keys, before[0].view(np.uint32), before[1].view(np.uint32)), return_index=True, return_inverse=True, return_counts=True)
+def grouped(keys: np.ndarray, before: np.ndarray, places: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
+    """The distinct (key, previous words) of some tokens: their keys, previous words, each token's place among them if places are asked for, and their counts."""
+    h = _fold(keys, before[0].view(np.uint32), before[1].view(np.uint32))
+    # As numpy's unique, with fewer arrays of all tokens at once.
+    sort = np.argsort(h, kind="stable").astype(np.int32)
+    h = picked(h, sort)
+    new = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    del h
+    edges = np.flatnonzero(new).astype(np.int32)
+    first, n = picked(sort, edges), np.diff(edges, append=np.int32(len(new)))
+    del edges
     # By word, so that neighbours meet the same slots.
-    order = np.argsort(keys[first])
-    rank = np.empty(len(order), np.int32)
-    rank[order] = np.arange(len(order), dtype=np.int32)
+    order = np.argsort(keys[first]).astype(np.int32)
+    back = None
+    if places:
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        back = np.empty(len(sort), np.int32)
+        back[sort] = picked(rank, np.cumsum(new, dtype=np.int32) - np.int32(1))
+    del sort, new
     first = first[order]
-    return keys[first].astype(np.int64), before[:, first], rank[back], n[order]
+    return keys[first], before[:, first], back, n[order]
 
 
 class Dictionary:
@@ -234,8 +252,9 @@ def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _fold(*parts: np.ndarray | int) -> np.ndarray:
     h = np.uint64(0)
     for p in parts:
-        h = (h ^ np.atleast_1d(p).astype(np.uint64)) * np.uint64(0x9FB21C651E98DF25)
-        h = h ^ (h >> np.uint64(31))
+        h = h ^ np.atleast_1d(p).astype(np.uint64)
+        h *= np.uint64(0x9FB21C651E98DF25)
+        h ^= h >> np.uint64(31)
     return h
 
 
@@ -368,12 +387,19 @@ def _bits(batches: Iterator[pa.RecordBatch], dictionary: Dictionary, some: int)
     for parts, _ in _groups(batches):
         hashes, size, data, numbers = merged(parts)
         _, length, code = dictionary.find(hashes)
-        keys, before, _, n = grouped(parts, pair_keys(parts, numbers, len(size)))
+        keys, before = pair_keys(parts, numbers, len(size)), np.concatenate([p.before for p in parts], axis=1)
+        # The group's tokens are not needed any more; _groups() holds the same list.
+        parts.clear()
+        del numbers
+        keys, before, _, n = grouped(keys, before, places=False)
         spelling = Spelling(size, data)
-        parts = -(-len(keys) // some)
-        for i in range(parts):
-            own = slice(i, None, parts)
-            yield n[own], steps(dictionary.letters, spelling, length, code, keys[own] // CLASSES, keys[own] % CLASSES, before[:, own])
+        runs = -(-len(keys) // some)
+        for i in range(runs):
+            own = slice(i, None, runs)
+            key = keys[own].astype(np.int64)
+            yield n[own], steps(dictionary.letters, spelling, length, code, key // CLASSES, key % CLASSES, before[:, own])
+        # Nor are its pairs, while the next group's texts are cut into words.
+        del hashes, size, data, length, code, keys, before, n, spelling
 
 
 def _hashed(words: list[bytes]) -> np.ndarray:
@@ -655,7 +681,9 @@ def score_texts(docs: DataFrame, model: Model, rest: DataFrame, trained: tuple[i
             hashes, size, data, numbers = merged(parts)
             count, length, code = model.dictionary.find(hashes)
             rare = length == 0
-            keys, before, back, _ = grouped(parts, pair_keys(parts, numbers, len(size)))
+            keys, before, back, _ = grouped(pair_keys(parts, numbers, len(size)), np.concatenate([p.before for p in parts], axis=1))
+            for p in parts:
+                p.before = p.cls = None
             known, spelled = model.told(size, data, length, code, keys // CLASSES, keys % CLASSES, before)
             at = 0
             for p, m, own in zip(parts, numbers, rows, strict=True):

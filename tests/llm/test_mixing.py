@@ -1,8 +1,10 @@
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from gridloom.llm import mixing as M
 
@@ -156,3 +158,34 @@ def test_codes_of_a_context_share_one(spark):
         told = model.told(np.ones(n, np.int64), np.zeros(n, np.uint8), np.append(d.end[0], d.length), np.append(d.end[1], d.code), np.append(0, word), np.full(n + 1, cls), np.full((2, n + 1), one, np.int32)).sum(axis=0)
         # All words of the dictionary and the end; what is left is for spelled words and unused codes.
         assert 0.2 < (10.0**told).sum() <= 1 + 1e-9
+
+
+def test_groups_of_pairs_match_brute_force():
+    rng = np.random.default_rng(5)
+    keys, before = rng.integers(0, 9, 500).astype(np.int32), rng.integers(0, 4, (2, 500)).astype(np.int32)
+    rows = list(zip(keys.tolist(), *before.tolist(), strict=True))
+    found, near, back, n = M.grouped(keys, before)
+    pairs = list(zip(found.tolist(), *near.tolist(), strict=True))
+    assert dict(zip(pairs, n.tolist(), strict=True)) == Counter(rows) and len(set(pairs)) == len(pairs)
+    assert found.tolist() == sorted(found.tolist()) and [pairs[i] for i in back] == rows
+    assert [x.tolist() for x in M.grouped(keys, before, places=False) if x is not None] == [x.tolist() for x in (found, near, n)]
+
+
+def test_learning_holds_one_group_of_tokens_at_a_time(monkeypatch):
+    monkeypatch.setattr(M, "TOKENS", 200_000)
+    monkeypatch.setattr(M, "PIECE", 1 << 17)
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 30_000, 1000)) for _ in range(800)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"])
+    dictionary = M.Dictionary(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 800, np.zeros(256))
+
+    def learned():
+        return sum(int(n.sum()) for n, _ in M._bits(iter([batch]), dictionary, M.STEP))
+
+    assert learned() == 800 * 1001
+    tracemalloc.start()
+    learned()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Bytes a token of a group: its words, its pairs and what sorts them, but not those of the group before.
+    assert peak < 130 * M.TOKENS, peak
