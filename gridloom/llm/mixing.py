@@ -18,7 +18,8 @@ Counts come from all training texts: each task counts (word, surroundings,
 previous words) within groups of tokens, and each of these pairs updates the
 task's tables once with its count. Weights and maps are learned online in the
 same pass, from the task's counts so far with one occurrence of the pair left
-out. The tasks' tables are added up, their weights averaged by mass; the tables,
+out. What no previous word enters is counted and looked up once a (word,
+surroundings) key of some PAIRS pairs, in learning as in scoring. The tasks' tables are added up, their weights averaged by mass; the tables,
 of fixed size, are broadcast. Scores of pairs are computed once for the texts of
 a group.
 
@@ -49,6 +50,8 @@ SLOTS = int(BASES[-1])
 #: The contexts of either kind of bit.
 CODE, SPELL = (0, 1, 2, 3, 4, 5), (6, 7, 8, 9, 10, 11)
 CONTEXTS = len(CODE)
+#: Of CODE, the first that see no previous word.
+SHARED = 4
 BLOCK = 1 << 14
 #: The block that holds what a task has learned besides counts.
 LEARNED = -1
@@ -64,6 +67,8 @@ TOKENS, PAIRS = 1_000_000, 20_000
 PIECE = 1 << 20
 #: Pairs between two changes of the weights.
 STEP = 2500
+#: Pairs of one key that are counted together.
+SAME = 64
 #: Words of the dictionary, at most.
 FREQUENT = 1 << 20
 #: Least count of a word of the dictionary; what is rarer teaches how words are spelled.
@@ -82,7 +87,12 @@ class Words:
         starts, ends = spans_of(~BLANK[buf])
         doc = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, bounds)))
         h = span_hashes(prefix_sums(buf), starts, ends)
-        self.hashes, first, word = np.unique(h, return_index=True, return_inverse=True)
+        sort = ordered(h)
+        new = changes(picked(h, sort))
+        first = picked(sort, np.flatnonzero(new))
+        self.hashes = h[first]
+        word = np.empty(len(h), np.int64)
+        word[sort] = np.cumsum(new) - 1
         size = ends[first] - starts[first]
         at = np.cumsum(size) - size
         self.bytes = buf[np.arange(size.sum()) - np.repeat(at - starts[first], size)]
@@ -162,16 +172,14 @@ def grouped(keys: np.ndarray, before: np.ndarray, places: bool = True) -> tuple[
     """The distinct (key, previous words) of some tokens: their keys, previous words, each token's place among them if places are asked for, and their counts."""
     h = _fold(keys, before[0].view(np.uint32), before[1].view(np.uint32))
     # As numpy's unique, with fewer arrays of all tokens at once.
-    sort = np.argsort(h, kind="stable").astype(np.int32)
-    h = picked(h, sort)
-    new = np.ones(len(h), bool)
-    np.not_equal(h[1:], h[:-1], out=new[1:])
+    sort = ordered(h)
+    new = changes(picked(h, sort))
     del h
     edges = np.flatnonzero(new).astype(np.int32)
     first, n = picked(sort, edges), np.diff(edges, append=np.int32(len(new)))
     del edges
-    # By word, so that neighbours meet the same slots.
-    order = np.argsort(keys[first]).astype(np.int32)
+    # By word, so that neighbours share their code and some slots.
+    order = ordered(keys[first].astype(np.uint64) << np.uint64(len(first).bit_length()))
     back = None
     if places:
         rank = np.empty(len(order), np.int32)
@@ -180,7 +188,32 @@ def grouped(keys: np.ndarray, before: np.ndarray, places: bool = True) -> tuple[
         back[sort] = picked(rank, np.cumsum(new, dtype=np.int32) - np.int32(1))
     del sort, new
     first = first[order]
-    return keys[first], before[:, first], back, n[order]
+    return picked(keys, first), before.take(first, axis=1, mode="clip"), back, picked(n, order)
+
+
+def ordered(values: np.ndarray) -> np.ndarray:
+    """Places of 64-bit values in the order of the bits that a place's number leaves free, equal ones in their own order. Both are sorted as one number, which takes a sixth of argsort's time."""
+    low = np.uint64((1 << len(values).bit_length()) - 1)
+    both = values & ~low
+    both |= np.arange(len(values), dtype=np.uint64)
+    both.sort()
+    both &= low
+    return both.astype(np.int32)
+
+
+def changes(values: np.ndarray) -> np.ndarray:
+    """Whether each value differs from the one before it."""
+    out = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=out[1:])
+    return out
+
+
+def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ..., n numbers for each, all in a row."""
+    end = np.cumsum(n)
+    out = np.repeat(first - end + n, n)
+    out += np.arange(len(out))
+    return out
 
 
 class Dictionary:
@@ -286,42 +319,69 @@ class Spelling:
         self.sums = prefix_sums(self.flat)
 
 
+class Codes:
+    """The bits of flag and code of some (word, surroundings) keys, and their slots in the contexts that see no previous word; these are the same for all previous words. Word 0 is the end."""
+
+    def __init__(self, length: np.ndarray, code: np.ndarray, word: np.ndarray, cls: np.ndarray):
+        own = length[word]
+        # Place 0 is the flag, place 1 + i the code's bit i; a one stands before the code.
+        self.n = own + 1
+        lead = np.where(own > 0, (np.int64(1) << own) | code[word], 0)
+        # Runs of LINE bits: their key, and how many bits are left from a run's first on.
+        self.runs = -(-self.n // LINE)
+        self.bits, self.lines = (np.cumsum(x) - x for x in (self.n, self.runs))
+        key = np.repeat(np.arange(len(word)), self.runs)
+        top = picked(self.n, key) - LINE * spread(np.zeros(len(word), np.int64), self.runs)
+        lead = picked(lead, key)
+        self.node, self.wide = _short(lead >> top), np.minimum(top, LINE)
+        i = spread(np.zeros(len(key), np.int64), self.wide)
+        left = np.repeat(top, self.wide) - i
+        lead = np.repeat(lead, self.wide)
+        self.bit = (lead >> (left - 1)) & 1
+        # Where a bit's slot lies in its run's line.
+        lead >>= left
+        one = np.int64(1) << i
+        lead &= one - 1
+        lead |= one
+        self.low = lead
+        a, s = cls // KINDS, cls % KINDS
+        contexts = _short(np.zeros_like(cls)), _short(1 + a), _short(101 + s), _short(201 + cls)
+        self.slots = [np.repeat(_place(k, picked(c, key), self.node), self.wide) ^ lead for k, c in zip(CODE, contexts, strict=False)]
+
+    def pairs(self, key: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Of keys with previous words: how many bits each has, the place of each bit in this object's, and slots in the contexts of the previous words."""
+        n, runs = picked(self.n, key), picked(self.runs, key)
+        at, line = spread(picked(self.bits, key), n), spread(picked(self.lines, key), runs)
+        node, wide, low = picked(self.node, line), picked(self.wide, line), picked(self.low, at)
+        slots = []
+        for k, b in zip(CODE[SHARED:], before, strict=True):
+            context = np.repeat(_short(np.uint64(301 + k - SHARED), b.view(np.uint32)), runs)
+            slots.append(np.repeat(_place(k, context, node), wide))
+            slots[-1] ^= low
+        return n, at, slots
+
+
 def steps(letters: tuple[np.ndarray, np.ndarray], spelling: Spelling, length: np.ndarray, code: np.ndarray, word: np.ndarray, cls: np.ndarray, before: np.ndarray) -> Iterator[tuple[np.ndarray, tuple[int, ...], list[np.ndarray], np.ndarray]]:
     """The bits of some (word, surroundings, previous words) pairs, many at once: pair, contexts' numbers, slot in each context's table, bit. Word 0 is the end."""
-    own = length[word]
-    coded = own > 0
-    # Place 0 is the flag, place 1 + i the code's bit i; a one stands before the code.
-    n = own + 1
-    lead = np.where(coded, (np.int64(1) << own) | code[word], 0)
-    # Runs of LINE bits: their pair, and how many bits are left from a run's first on.
-    runs = -(-n // LINE)
-    pair = np.repeat(np.arange(len(word)), runs)
-    top = picked(n, pair) - LINE * (np.arange(len(pair)) - np.repeat(np.cumsum(runs) - runs, runs))
-    a, s = cls // KINDS, cls % KINDS
-    contexts = [_short(np.zeros_like(cls)), _short(1 + a), _short(101 + s), _short(201 + cls), *[_short(np.uint64(301 + k), before[k].view(np.uint32)) for k in (0, 1)]]
-    lead = picked(lead, pair)
-    node = _short(lead >> top)
-    lines = [_place(k, picked(c, pair), node) for k, c in zip(CODE, contexts, strict=True)]
-    wide = np.minimum(top, LINE)
-    run = np.repeat(np.arange(len(pair)), wide)
-    i = np.arange(len(run)) - np.repeat(np.cumsum(wide) - wide, wide)
-    left = picked(top, run) - i
-    lead = picked(lead, run)
-    bit = (lead >> (left - 1)) & 1
-    lead >>= left
-    one = np.int64(1) << i
-    lead &= one - 1
-    lead |= one
-    yield picked(pair, run), CODE, [picked(line, run) ^ lead for line in lines], bit
-    which = np.flatnonzero(~coded)
-    if not len(which):
+    codes = Codes(length, code, word, cls)
+    n, _, slots = codes.pairs(np.arange(len(word)), before)
+    yield np.repeat(np.arange(len(word)), n), CODE, [*codes.slots, *slots], codes.bit
+    which = np.flatnonzero(length[word] == 0)
+    for pair, slots, bit in spelled(letters, spelling, word[which], cls[which]):
+        yield picked(which, pair), SPELL, slots, bit
+
+
+def spelled(letters: tuple[np.ndarray, np.ndarray], spelling: Spelling, word: np.ndarray, cls: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+    """The bits by which some (word, surroundings) keys are spelled, the first of all bytes, then the second and so on: key, slot in each context's table, bit."""
+    if not len(word):
         return
-    word = word[which] - 1
+    word = word - 1
+    a, s = cls // KINDS, cls % KINDS
     n = spelling.wide[word]
-    pair = np.repeat(which, n)
-    begin = np.repeat(spelling.edges[word] - n, n)
-    i = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
-    at = begin + i
+    begin = spelling.edges[word] - n
+    at = spread(begin, n)
+    pair, begin = np.repeat(np.arange(len(word)), n), np.repeat(begin, n)
+    i = at - begin
     byte = picked(spelling.flat, at)
     a, s, cls = picked(a, pair), picked(s, pair), picked(cls, pair)
     order = [span_hashes(spelling.sums, np.maximum(begin, at - k), at) + (i >= k).astype(np.uint64) for k in (1, 2, 3, 4)]
@@ -338,7 +398,7 @@ def steps(letters: tuple[np.ndarray, np.ndarray], spelling: Spelling, length: np
         if not i:
             lines = [_place(k, picked(c, place), _short(node)) for k, c in zip(SPELL, contexts, strict=True)]
         node = (1 << i) | (node & ((1 << i) - 1))
-        yield pair, SPELL, [line ^ node for line in lines], (own >> (wide - 1 - b)) & 1
+        yield pair, [line ^ node for line in lines], (own >> (wide - 1 - b)) & 1
 
 
 def _met(texts: DataFrame) -> DataFrame:
@@ -348,7 +408,9 @@ def _met(texts: DataFrame) -> DataFrame:
         for parts, _ in _groups(batches):
             _, size, data, numbers = merged(parts)
             keys = np.concatenate([m[p.word].astype(np.int64) * ACCENTS + p.cls // KINDS for p, m in zip(parts, numbers, strict=True)])
-            keys, n = np.unique(keys, return_counts=True)
+            keys.sort()
+            edges = np.flatnonzero(changes(keys))
+            keys, n = keys[edges], np.diff(edges, append=len(keys))
             for at in range(0, len(keys), PAIRS):
                 own = keys[at : at + PAIRS]
                 yield _rows(size, data, own // ACCENTS, [pa.array((own % ACCENTS).astype(np.int32)), pa.array(n[at : at + PAIRS])], ["near", "n"])
@@ -383,7 +445,10 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[Words], li
 
 
 def _bits(batches: Iterator[pa.RecordBatch], dictionary: Dictionary, some: int) -> Iterator[tuple]:
-    """Of each group of texts, some pairs at a time, spread over all words: their counts and steps()."""
+    """Of each group of texts, some pairs at a time, spread over all words: their counts, and Spelling, lengths, codes, distinct keys' words and classes, each pair's key among these, its previous words.
+
+    Pairs of one key stay together, SAME at most.
+    """
     for parts, _ in _groups(batches):
         hashes, size, data, numbers = merged(parts)
         _, length, code = dictionary.find(hashes)
@@ -393,13 +458,23 @@ def _bits(batches: Iterator[pa.RecordBatch], dictionary: Dictionary, some: int)
         del numbers
         keys, before, _, n = grouped(keys, before, places=False)
         spelling = Spelling(size, data)
+        new = changes(keys)
+        start = np.flatnonzero(new)
+        new |= spread(np.zeros(len(start), np.int64), np.diff(start, append=len(keys))) % SAME == 0
         runs = -(-len(keys) // some)
-        for i in range(runs):
-            own = slice(i, None, runs)
-            key = keys[own].astype(np.int64)
-            yield n[own], steps(dictionary.letters, spelling, length, code, key // CLASSES, key % CLASSES, before[:, own])
+        unit = np.cumsum(new, dtype=np.int32)
+        del new, start
+        dealt = (unit % runs).astype(np.uint16 if runs < 1 << 16 else np.int32)
+        order, edges = np.argsort(dealt, kind="stable").astype(np.int32), np.cumsum([0, *np.bincount(dealt, minlength=runs)])
+        del dealt
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            own = order[low:high]
+            new = changes(unit[own])
+            key = keys[own[new]].astype(np.int64)
+            if len(own):
+                yield n[own], (spelling, length, code, key // CLASSES, key % CLASSES, np.cumsum(new) - 1, before[:, own])
         # Nor are its pairs, while the next group's texts are cut into words.
-        del hashes, size, data, length, code, keys, before, n, spelling
+        del hashes, size, data, length, code, keys, before, n, spelling, unit, order
 
 
 def _hashed(words: list[bytes]) -> np.ndarray:
@@ -465,6 +540,8 @@ LOGS = np.log(np.arange(1 << 16) + PRIOR).astype(np.float32)
 SEEN = np.array([0.5, 1.5, 3.5, 8.5, 60.5])
 LEVEL_OF = np.searchsorted(SEEN, np.arange(62)).astype(np.uint8)
 RICH, OTHER = np.array([0, 1, 2, 2, 3, 4]), np.array([0, 0, 0, 1, 1, 2])
+#: The gate at a level of the richest context and six times that of the other.
+GATE = (3 * RICH + OTHER[:, None]).ravel()
 
 
 def evidence(n: np.ndarray) -> np.ndarray:
@@ -474,9 +551,7 @@ def evidence(n: np.ndarray) -> np.ndarray:
 
 def gate(contexts: tuple[int, ...], rich: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Number of the weights: five levels of what the richest context has seen by three of another; spelled bits have their own."""
-    out = picked(3 * RICH + (0 if contexts == CODE else GATES // 2), rich)
-    out += picked(OTHER, other)
-    return out
+    return picked(GATE if contexts == CODE else GATE + GATES // 2, rich + 6 * other)
 
 
 def deciding(contexts: tuple[int, ...]) -> tuple[int, int]:
@@ -515,50 +590,85 @@ def _mixed(shared):
         w, speed, mass = start_weights(), np.full((GATES, CONTEXTS), 1e-3), np.zeros(GATES)
         maps = np.zeros((GATES * LEVELS, 2))
         half = GATES // 2
-        unit = np.eye(half, dtype=np.float32)
-        for n, made in _bits(batches, shared.value, STEP):
+
+        def met(slot: np.ndarray, less: tuple[np.ndarray, np.ndarray], one: np.ndarray, weight: np.ndarray, x: np.ndarray) -> np.ndarray:
+            """Counts some bits; what their slots now hold, and in x its log-odds but for one occurrence."""
+            place = 2 * slot
+            place += one
+            np.add.at(flat, place, weight)
+            n = picked(both, slot).view(np.float32).reshape(-1, 2)
+            np.add(less[1], n[:, 1], out=x)
+            x /= less[0] + n[:, 0]
+            np.log(x, out=x)
+            return n
+
+        def learned(contexts: tuple[int, ...], x: np.ndarray, seen: list[np.ndarray], told: np.ndarray, one: np.ndarray, weight: np.ndarray) -> None:
+            """One change of the weights by some bits, of which maps learn too."""
+            first = 0 if contexts == CODE else half
+            g = gate(contexts, *seen)
+            g -= first
+            part = w[first : first + half].T.astype(np.float32).take(g, axis=1, mode="clip")
+            part *= x
+            total = part.sum(axis=0)
+            np.clip(total, -12, 12, out=total)
+            place = level(total)
+            place += g * LEVELS
+            place *= 2
+            place += one
+            found = np.bincount(place, weight, half * LEVELS * 2).reshape(-1, 2)
+            maps[first * LEVELS : (first + half) * LEVELS] += found
+            m = found.reshape(half, -1).sum(axis=1)
+            off = told - squash(total)
+            off *= weight
+            np.multiply(x, off, out=part)
+            # Neighbours mostly have one gate; a sum need not wait for the one before if four take turns.
+            g *= 4
+            g += np.arange(len(g)) & 3
+            slope = np.array([np.bincount(g, k, 4 * half) for k in part]).reshape(CONTEXTS, half, 4).sum(axis=2).T / np.maximum(m, 1)[:, None]
+            speed[first : first + half] += slope * slope
+            w[first : first + half] += RATE * slope / np.sqrt(speed[first : first + half])
+            mass[first : first + half] += m
+
+        def left_out(told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """What is added to zeros and ones: the prior, less the occurrence itself."""
+            return PRIORS - 1 + told, PRIORS - told
+
+        def evident(n: np.ndarray) -> np.ndarray:
+            return evidence((n[:, 0] + n[:, 1]).astype(np.int64) - 1)
+
+        for n, (spelling, length, code, word, cls, key, before) in _bits(batches, shared.value, PAIRS):
             n = n.astype(np.float32)
-            for pair, contexts, slots, one in made:
-                weight, told = picked(n, pair), one.astype(np.float32)
-                # One occurrence itself is left out; it is among the counts.
-                less = (PRIORS - 1 + told, PRIORS - told)
-                x, seen = np.empty((CONTEXTS, len(one)), np.float32), {}
-                for k, slot in enumerate(slots):
-                    np.add.at(flat, 2 * slot + one, weight)
-                    met = picked(both, slot).view(np.float32).reshape(-1, 2)
-                    np.add(met[:, 1], less[1], out=x[k])
-                    x[k] /= met[:, 0] + less[0]
-                    if k in deciding(contexts):
-                        seen[k] = evidence((met[:, 0] + met[:, 1]).astype(np.int64) - 1)
-                np.log(x, out=x)
-                first = 0 if contexts == CODE else half
-                g = gate(contexts, *[seen[k] for k in deciding(contexts)])
-                g -= first
-                narrow = w[first : first + half].T.astype(np.float32)
-                total = picked(narrow[0], g)
-                total *= x[0]
-                for k in range(1, CONTEXTS):
-                    part = picked(narrow[k], g)
-                    part *= x[k]
-                    total += part
-                np.clip(total, -12, 12, out=total)
-                place = level(total)
-                place += g * LEVELS
-                place *= 2
-                place += one
-                found = np.bincount(place, weight, half * LEVELS * 2).reshape(-1, 2)
-                maps[first * LEVELS : (first + half) * LEVELS] += found
-                m = found.reshape(half, -1).sum(axis=1)
-                told -= squash(total)
-                told *= weight
-                x *= told
-                slope = (x @ unit.take(g, axis=0)).T / np.maximum(m, 1)[:, None]
-                speed[first : first + half] += slope * slope
-                w[first : first + half] += RATE * slope / np.sqrt(speed[first : first + half])
-                mass[first : first + half] += m
+            codes = Codes(length, code, word, cls)
+            sums = np.bincount(key, n).astype(np.float32)
+            told, weight = codes.bit.astype(np.float32), np.repeat(sums, codes.n)
+            alike, less = np.empty((SHARED, len(told)), np.float32), left_out(told)
+            for x, slot in zip(alike, codes.slots, strict=True):
+                met(slot, less, codes.bit, weight, x)
+            runs = -(-len(n) // STEP)
+            for i in range(runs):
+                own = slice(i, None, runs)
+                wide, at, slots = codes.pairs(key[own], before[:, own])
+                one, some, weight = picked(codes.bit, at), picked(told, at), np.repeat(n[own], wide)
+                x = np.empty((CONTEXTS, len(at)), np.float32)
+                alike.take(at, axis=1, out=x[:SHARED], mode="clip")
+                less = left_out(some)
+                found = [met(slot, less, one, weight, k) for slot, k in zip(slots, x[SHARED:], strict=True)]
+                learned(CODE, x, [evident(found[k - SHARED]) for k in deciding(CODE)], some, one, weight)
+            which = np.flatnonzero(length[word] == 0)
+            for pair, slots, one in spelled(shared.value.letters, spelling, word[which], cls[which]):
+                some, weight = one.astype(np.float32), picked(sums, picked(which, pair))
+                x = np.empty((CONTEXTS, len(one)), np.float32)
+                less = left_out(some)
+                found = [met(slot, less, one, weight, k) for slot, k in zip(slots, x, strict=True)]
+                seen = [evident(found[k]) for k in deciding(SPELL)]
+                # As many changes as of the weights of codes.
+                edges = np.arange(runs + 1) * len(one) // runs
+                for low, high in zip(edges[:-1], edges[1:], strict=True):
+                    if high > low:
+                        learned(SPELL, x[:, low:high], [k[low:high] for k in seen], some[low:high], one[low:high], weight[low:high])
         yield _blocks(counts)
-        learned = np.concatenate([(w * mass[:, None]).ravel(), mass, maps.ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array([LEARNED], pa.int32()), pa.array([learned.tobytes()], pa.binary())], names=["block", "sums"])
+        more = np.concatenate([(w * mass[:, None]).ravel(), mass, maps.ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array([LEARNED], pa.int32()), pa.array([more.tobytes()], pa.binary())], names=["block", "sums"])
 
     return run
 
@@ -576,11 +686,12 @@ class Model:
         self.dictionary = dictionary
         # Tokens of the words that are counted but have no code, and the share of such tokens to come that is known: all but what was met once.
         self.rare, self.known = rare, 1 - max(once, 1) / max(rare, 1)
-        self.odds, self.seen = np.empty(SLOTS, np.int8), np.empty(SLOTS, np.uint8)
+        # Side by side, as both are wanted of the deciding contexts.
+        self.both = np.empty((SLOTS, 2), np.int8)
         for at in range(0, SLOTS, 1 << 20):
             c = counts[at : at + (1 << 20)]
-            self.odds[at : at + (1 << 20)] = np.rint(ODDS * (LOGS[c[:, 1]] - LOGS[c[:, 0]]))
-            self.seen[at : at + (1 << 20)] = evidence(c.sum(axis=1, dtype=np.int64))
+            self.both[at : at + (1 << 20), 0] = np.rint(ODDS * (LOGS[c[:, 1]] - LOGS[c[:, 0]]))
+            self.both[at : at + (1 << 20), 1] = evidence(c.sum(axis=1, dtype=np.int64))
         self.weights = weights
         middle = squash((np.arange(LEVELS) + 0.5) * 16 / LEVELS - 8)
         self.maps = ((maps[:, 1] + 20 * np.tile(middle, GATES)) / (maps.sum(axis=1) + 20)).astype(np.float64)
@@ -595,34 +706,56 @@ class Model:
     def told(self, size: np.ndarray, data: np.ndarray, length: np.ndarray, code: np.ndarray, word: np.ndarray, cls: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Log10 probability of each (word, surroundings, previous words) pair, as two summands: of its code or, if it has none, of that; of its spelling."""
         out = np.zeros((2, len(word)))
-        scaled = (self.weights.T / ODDS).astype(np.float32)
-        costs = self.costs.ravel()
+        scaled = (self.weights.T * (FINE / 24 / ODDS)).astype(np.float32)
+        costs, both = self.costs.ravel(), self.both.view(np.uint16).ravel()
+
+        def bits(contexts: tuple[int, ...], odds: list[np.ndarray], seen: list[np.ndarray], one: np.ndarray) -> np.ndarray:
+            g = gate(contexts, *seen)
+            total = np.full(len(one), FINE / 2, np.float32)
+            for k, x in enumerate(odds):
+                part = picked(scaled[k], g)
+                part *= x
+                total += part
+            np.clip(total, 0, FINE - 1, out=total)
+            g *= FINE
+            g += total.astype(np.int64)
+            g *= 2
+            g += one
+            return picked(costs, g)
+
+        for start in range(0, len(word), PAIRS):
+            own = slice(start, start + PAIRS)
+            new = changes(word[own]) | changes(cls[own])
+            codes = Codes(length, code, word[own][new], cls[own][new])
+            alike = [picked(both, slot).view(np.int8)[::2].astype(np.float32) for slot in codes.slots]
+            n, at, slots = codes.pairs(np.cumsum(new) - 1, before[:, own])
+            found = [picked(both, slot).view(np.int8) for slot in slots]
+            told = bits(CODE, [*[picked(x, at) for x in alike], *[x[::2] for x in found]], [found[k - SHARED][1::2] for k in deciding(CODE)], picked(codes.bit, at))
+            out[0, own] = np.add.reduceat(told, np.cumsum(n) - n, dtype=np.float64)
+        rare = np.flatnonzero(length[word] == 0)
         spelling = Spelling(size, data)
-        for at in range(0, len(word), PAIRS):
-            own = slice(at, at + PAIRS)
-            some = len(word[own])
-            for pair, contexts, slots, one in steps(self.dictionary.letters, spelling, length, code, word[own], cls[own], before[:, own]):
-                g = gate(contexts, *[picked(self.seen, slots[k]) for k in deciding(contexts)])
-                total = np.full(len(one), 12, np.float32)
-                for k, slot in enumerate(slots):
-                    part = picked(scaled[k], g)
-                    part *= picked(self.odds, slot)
-                    total += part
-                total *= FINE / 24
-                np.clip(total, 0, FINE - 1, out=total)
-                place = g * FINE + total.astype(np.int64)
-                place *= 2
-                place += one
-                out[int(contexts == SPELL), own] += np.bincount(pair, picked(costs, place), some)
+        for start in range(0, len(rare), PAIRS):
+            own = rare[start : start + PAIRS]
+            for pair, slots, one in spelled(self.dictionary.letters, spelling, word[own], cls[own]):
+                found = [picked(both, slot).view(np.int8) for slot in slots]
+                out[1, own] += np.bincount(pair, bits(SPELL, [x[::2] for x in found], [found[k][1::2] for k in deciding(SPELL)], one), len(own))
         return out
 
+    @property
+    def odds(self) -> np.ndarray:
+        return self.both[:, 0]
+
+    @property
+    def seen(self) -> np.ndarray:
+        return self.both[:, 1]
+
 
 def train(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT) -> tuple[Model, DataFrame, tuple[int, int]]:
     """The model of all texts given; the staged (word, n) counts of the words that its dictionary lacks; the numbers of tokens and of distinct tokens."""
     sc = docs.sparkSession.sparkContext
     texts = docs.select(F.col(f"`{text_col}`").alias("t"))
     near = _met(texts).repartition("word").groupBy("word", "near").agg(F.sum("n").alias("n"))
-    words = staged(near.groupBy("word").agg(F.sum("n").alias("n"), F.max_by("near", F.struct("n", "near")).alias("near")), "words")
+    words = staged(near.groupBy("word").agg(F.sum("n").alias("n"), (F.max(F.col("n") * ACCENTS + F.col("near")) % ACCENTS).cast("int").alias("near")), "words")
     ends, total, distinct = words.agg(F.sum(F.when(F.col("word") == F.lit(END), F.col("n"))), F.sum("n"), F.count("*")).first()
     plain = words.where(F.col("word") != F.lit(END))
     least = _least(plain, frequent)

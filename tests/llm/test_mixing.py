@@ -189,3 +189,50 @@ def test_learning_holds_one_group_of_tokens_at_a_time(monkeypatch):
     tracemalloc.stop()
     # Bytes a token of a group: its words, its pairs and what sorts them, but not those of the group before.
     assert peak < 130 * M.TOKENS, peak
+
+
+def test_ordered_matches_argsort():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 5000):
+        x = rng.integers(0, 700, n).astype(np.uint64) << np.uint64(40)
+        assert M.ordered(x).tolist() == np.argsort(x, kind="stable").tolist()
+
+
+def test_what_does_not_depend_on_previous_words_is_done_once_a_key(monkeypatch):
+    """Learning and scoring look up the contexts without previous words once for a (word, surroundings) key, and what they count is what the bits of all pairs give."""
+    rng = np.random.default_rng(9)
+    vocabulary = [f"w{x}" for x in range(60)]
+    texts = [" ".join([*rng.choice(vocabulary, 400), f"rare{i % 7}x", "rare!"]) for i in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"])
+    dictionary = M.Dictionary(M._hashed([w.encode() for w in vocabulary]), np.full(60, 400), np.zeros(60, np.int64), 60, np.bincount(np.frombuffer(texts[0].encode(), np.uint8), minlength=256))
+    asked, place = Counter(), M._place
+
+    def counted(k, context, node):
+        asked[k] += len(context)
+        return place(k, context, node)
+
+    monkeypatch.setattr(M, "_place", counted)
+    shared = type("Shared", (), {"value": dictionary})
+    made = [r for b in M._mixed(shared)(iter([batch])) for r in b.to_pylist()]
+    # 24,000 tokens with few keys, each with many previous words.
+    assert asked[0] == asked[3] and 0 < 5 * asked[0] < asked[4] == asked[5]
+    got = np.zeros((M.SLOTS, 2))
+    for r in made:
+        if r["block"] != M.LEARNED:
+            at = r["block"] * M.BLOCK
+            got[at : at + M.BLOCK] = M._unpacked(r["sums"], "<u4").reshape(-1, 2)[: M.SLOTS - at]
+    parts = M.Words([t.encode() for t in texts])
+    hashes, size, data, numbers = M.merged([parts])
+    _, length, code = dictionary.find(hashes)
+    word, spelling = numbers[0][parts.word].astype(np.int64), M.Spelling(size, data)
+    want = np.zeros((M.SLOTS, 2))
+    asked.clear()
+    for _, _, slots, bits in M.steps(dictionary.letters, spelling, length, code, word, parts.cls.astype(np.int64), parts.before):
+        for slot in slots:
+            np.add.at(want, (slot, bits), 1)
+    assert np.array_equal(got, want) and got.sum() > 0
+    model = M.Model(M.halved(got), M.start_weights(), np.zeros((M.GATES * M.LEVELS, 2)), dictionary)
+    keys, before, _, _ = M.grouped(M.pair_keys([parts], numbers, len(size)), parts.before)
+    asked.clear()
+    model.told(size, data, length, code, keys // M.CLASSES, keys % M.CLASSES, before)
+    assert asked[0] == asked[3] and 0 < 5 * asked[0] < asked[4] == asked[5]
